@@ -23,6 +23,9 @@ from .common import WORD, cut
 
 SYMBOLS = "#*$%&|<>"
 
+#: A word of ordinary prose: letters, digits, marks and inner joiners between quotes or brackets and sentence marks.
+PLAIN = r"""^["'(\[\u00ab\u2018\u201c\u00bf\u00a1]*[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}'\u2019.,:/@_-]*[!?;)\]"'\u00bb\u201d\u2026]*$"""
+
 
 def counts(docs: DataFrame) -> DataFrame:
     """The base counts of every document, without any shuffle.
@@ -46,6 +49,7 @@ def counts(docs: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("words", lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_letter_words"),
+        F.size(F.filter("words", lambda w: w.rlike(PLAIN))).cast("long").alias("n_plain_words"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
     )
     steps = F.when(F.col("n_words") >= 3, F.sequence(F.lit(0), (F.col("n_words") - 3).cast("int"))).otherwise(F.array().cast("array<int>"))
@@ -74,6 +78,7 @@ RULES = (
     Rule("symbols", "10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
     Rule("lines", "10 * n_dup_lines > 3 * n_lines", "10 * n_dup_lines <= n_lines"),
     Rule("repeats", "100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 15 * n_words"),
+    Rule("plain", "10 * n_plain_words < 7 * n_words", "20 * n_plain_words >= 19 * n_words"),
     Rule("letters", "10 * n_letter_words < 8 * n_words", "20 * n_letter_words >= 19 * n_words"),
 )
 
