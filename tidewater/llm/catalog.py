@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import mixing, quality
 
 QUERIES = {
+    "op3_mixing": mixing.op3_mixing,
     "op5_quality": quality.op5_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_mixing": mixing.OP3_SQL,
+}
