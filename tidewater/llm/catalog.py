@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import line_dedup, mixing, quality
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op5_quality": quality.op5_quality,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.OP1_SQL,
     "op3_mixing": mixing.OP3_SQL,
 }
