@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality
+from . import line_dedup, mixing, quality, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op5_quality": quality.op5_quality,
+    "op9_warc": warc.op9_warc,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op3_mixing": mixing.OP3_SQL,
+    "op9_warc": warc.OP9_SQL,
 }
