@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality, warc
+from . import line_dedup, minhash, mixing, quality, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_mixing": mixing.op3_mixing,
+    "op4_minhash": minhash.op4_minhash,
     "op5_quality": quality.op5_quality,
     "op9_warc": warc.op9_warc,
 }
