@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, minhash, mixing, quality, warc
+from . import langid, line_dedup, minhash, mixing, quality, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_langid": langid.op2_langid,
     "op3_mixing": mixing.op3_mixing,
     "op4_minhash": minhash.op4_minhash,
     "op5_quality": quality.op5_quality,
