@@ -42,6 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files, broadcasts and checkpoints that nothing refers to any more.
+
+    Spark learns what is dead from the driver's garbage collection, which it asks for every half
+    hour only; a loop of many small jobs would pile up files and driver memory until then.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", rows: int | None = None, salts: int = 64) -> DataFrame:
     """Joins left with a table that has one row a key (null keys match null keys).
 
@@ -55,7 +64,7 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     match = [left[k].eqNullSafe(right[n]) for k, n in zip(keys, named, strict=True)]
     if rows <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), match, how).drop(*named)
-    left = left.withColumn("__salt", F.floor(F.rand(17) * salts).cast("int"))
+    left = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     right = right.withColumn("__rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     match = [left[k].eqNullSafe(right[n]) for k, n in zip(keys, named, strict=True)]
     return left.join(right, [*match, left["__salt"] == right["__rsalt"]], how).drop(*named, "__salt", "__rsalt")
@@ -65,15 +74,18 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, count: str, total: in
     """Left or inner join of left with a table of one row a key that knows the key's rows in left.
 
     Keys with at least total / HEAVY_SHARE rows, of which there are at most HEAVY_SHARE, are
-    broadcast; the rest have too few rows each to make a hot task and go through the shuffle.
-    Null keys match nothing.
+    broadcast; the rest have too few rows each to make a hot task and go through the shuffle. Rows
+    that have met their heavy key pass that shuffle too, dealt by a salt from their content, so
+    left is computed once. Null keys match nothing.
     """
     least = max(2, total // HEAVY_SHARE)
-    heavy = right.where(F.col(count) >= least).withColumnRenamed(key, "__k").withColumn("__hit", F.lit(True))
-    light = right.where(F.col(count) < least).withColumnRenamed(key, "__k")
     values = [c for c in right.columns if c != key]
-    marked = left.join(F.broadcast(heavy), left[key] == heavy["__k"], "left").drop("__k")
-    done = marked.where(F.col("__hit")).drop("__hit")
-    rest = marked.where(F.col("__hit").isNull()).drop("__hit", *values)
-    rest = rest.join(light, rest[key] == light["__k"], how).drop("__k")
-    return done.unionByName(rest)
+    heavy = right.where(F.col(count) >= least).select(F.col(key).alias("__hk"), *(F.col(c).alias(f"__h_{c}") for c in values))
+    light = right.where(F.col(count) < least).select(F.col(key).alias("__lk"), *(F.col(c).alias(f"__l_{c}") for c in values), F.lit(0).alias("__ls"))
+    rows = left.join(F.broadcast(heavy), left[key] == heavy["__hk"], "left")
+    apart = F.col("__hk").isNotNull() | F.col(key).isNull()
+    rows = rows.withColumn("__s", F.when(apart, 1 + F.pmod(F.xxhash64(*left.columns), F.lit(HEAVY_SHARE))).otherwise(0).cast("int"))
+    rows = rows.join(light, (rows[key].eqNullSafe(light["__lk"])) & (rows["__s"] == light["__ls"]), "left")
+    if how == "inner":
+        rows = rows.where(F.col("__hk").isNotNull() | F.col("__lk").isNotNull())
+    return rows.select(*left.columns, *(F.coalesce(f"__h_{c}", f"__l_{c}").alias(c) for c in values))
