@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, line_dedup, minhash, mixing, quality, warc
+from . import langid, line_dedup, minhash, mixing, packing, quality, tokenbin, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_minhash": minhash.op4_minhash,
     "op5_quality": quality.op5_quality,
+    "op6_tokens": tokenbin.op6_tokens,
     "op9_warc": warc.op9_warc,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLES: dict[str, str] = {
