@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, line_dedup, lmscore, minhash, mixing, packing, quality, tokenbin, warc
+from . import ann, langid, line_dedup, lmscore, minhash, mixing, packing, quality, tokenbin, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_tokens": tokenbin.op6_tokens,
     "op7_lmscore": lmscore.op7_lmscore,
+    "op8_ann": ann.op8_ann,
     "op9_warc": warc.op9_warc,
     "op10_packing": packing.op10_packing,
 }
