@@ -6,11 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.llm import langid, line_dedup, minhash, mixing, packing
 from tidewater.llm.common import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in no language that can be told."""
+    return langid.reject_unknown(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts lines that many sources share from the texts; every document stays."""
+    return line_dedup.dedup_lines(docs).drop("n_lines", "n_removed")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies (five words, similarity 0.8)."""
+    return minhash.keep_one(docs, width=5, percent=80)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes from each source the words of its target: a row for each pass over a document."""
+    return mixing.mix_texts(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what the mix took into sequences of 4096 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language),
+    ("line_dedup", lines),
+    ("near_dedup", near),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
 #: The stages learn models and sketch sets, which SQL cannot express; tests compare with brute force.
 ORACLE_SQL = None
