@@ -1,6 +1,8 @@
-"""The engine's own queries and their SQL."""
+"""The engine's own queries and their SQL, gathered from the modules of this package."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import joins_shape, rows, scalars_misc, timeseries, tpch
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "joins_shape", "rows", "scalars_misc", "timeseries", "tpch"]
