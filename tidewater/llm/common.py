@@ -42,6 +42,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bounds the bytes of an Arrow batch, of which a task holds several in the JVM and in Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files, broadcasts and checkpoints that nothing refers to any more.
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import cut, scratch_path
+from .common import cut, scratch_path, small_batches
 from .files import read_all, write_once
 
 BASE = 2.0
@@ -44,8 +44,8 @@ PAIR_WEIGHT = 0.5
 SLICE = 6_000_000
 
 #: Bytes of text whose counts a task combines before it sends them.
-BLOCK_BYTES = 32 << 20
-RUN_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+RUN_BYTES = 2 << 20
 
 END = np.uint64(0x9AE16A3B2F90404F)
 _PAIR = np.uint64(0x2545F4914F6CDD1D)
@@ -218,6 +218,7 @@ def _slice(files: list[tuple[str, int]], keep: bool) -> tuple[np.ndarray, np.nda
 def train(docs: DataFrame) -> Scorer:
     """Counts the texts of docs and builds the filter."""
     spark = docs.sparkSession
+    small_batches(spark)
     ranges = 1 << max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     shift = 64 - (ranges.bit_length() - 1)
     folder = scratch_path(spark, "words")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are handled in runs of about this many bytes (a longer text alone), which bounds memory.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
