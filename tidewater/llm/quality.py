@@ -105,14 +105,14 @@ class LabelModel:
         return odds
 
 
-def fit(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 100, strength: float = 4.0) -> LabelModel:
+def fit(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 100, strength: float = 4.0, n_rules: int = len(RULES)) -> LabelModel:
     """Expectation-maximisation over (votes, documents) pairs.
 
     It starts from rules that are right nine times in ten; pseudo-counts of that opinion, strength
     documents a class and rule, keep rates off 0 and 1. A rule never counts as worse than chance:
     its bad votes stay at least as likely on bad documents as on good ones.
     """
-    n_rules = len(patterns[0][0]) if patterns else 0
+    n_rules = len(patterns[0][0]) if patterns else n_rules
     model = LabelModel(0.8, (0.1,) * n_rules, (0.9,) * n_rules)
     for _ in range(rounds if patterns else 0):
         good = bad = 0.0
@@ -152,7 +152,7 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float =
     names = [f"v_{r.name}" for r in rules]
     seen = rows.groupBy(*names).agg(F.count("*").alias("n")).collect()  # at most 3 ** len(rules) rows
     patterns = sorted(((tuple(r[c] for c in names), r["n"]) for r in seen), key=str)
-    model = fit(patterns)
+    model = fit(patterns, n_rules=len(rules))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumn("p_good", posterior(model, rules)).withColumn("base_failed", failed)
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
