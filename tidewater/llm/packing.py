@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut
+from .common import cut, small_batches
 
 SIZE = 4096
 SALTS = 256
@@ -156,6 +156,7 @@ class Plan:
 
 def pieces(docs: DataFrame, tokenizer: str, end: int = 1, size: int = SIZE, drop_space: bool = True, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and on request ids of every piece of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = pa.schema(kinds + [("ids", pa.list_(pa.int32()))] * with_ids)

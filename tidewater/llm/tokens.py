@@ -16,7 +16,7 @@ import pyarrow as pa
 from . import textnum
 
 #: Distinct pieces a worker keeps before it starts afresh, which bounds its memory (about 40 MB a million).
-CACHE_PIECES = 3_000_000
+CACHE_PIECES = 1_500_000
 
 #: Bytes that may end or begin a Unicode space, or are controls that some pattern classes take for spaces.
 _PLAIN = np.zeros(256, bool)
