@@ -35,7 +35,7 @@ BEAM = 4
 SAMPLE = 8192
 
 #: Distinct vectors that a query's table scores keep for the exact ranking.
-RERANK = 192
+RERANK = 256
 
 #: Vectors of a block of codes, and queries of a block of queries.
 CODE_BLOCK = 16384
@@ -198,7 +198,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RERAN
     numbers = [r["block"] for r in right.select("block").collect()]  # one number a block of queries
     met = left.withColumn("block", F.explode(F.array(*(F.lit(b) for b in numbers)))) if numbers else left.withColumn("block", F.lit(-1).cast("long"))
     met = met.join(right, "block").select("block", "keys", "least", "codes", "queries", "q")
-    met = met.repartition("block").sortWithinPartitions("block")
+    # dealt by a hash of the block, not the join's own key: an exchange that the planner keeps, and
+    # that no split of a skewed join reaches, so a task sees all code blocks of its queries
+    met = met.repartition(F.hash("block")).sortWithinPartitions("block")
     return _exact(cut(met.mapInArrow(scan, "query_id long, key binary")), asked, vectors, members, k)
 
 
