@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -37,9 +39,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Computes df once into a table in the shared folder and reads it back.
+
+    That cuts the lineage, survives lost executors, and gives the planner true sizes. (A checkpoint
+    keeps the size estimates of what it replaces; joins multiply them, so a loop of joins soon has
+    estimates of millions of digits, which fill the driver.) Tables go when the Python process ends.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    """Deletes a table, if the session still lives."""
+    with contextlib.suppress(Exception):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession, size: str = "8m") -> None:

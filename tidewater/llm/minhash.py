@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import BROADCAST_ROWS, cut, skew_join
+from .common import BROADCAST_ROWS, cut, release, skew_join
 
 BINS = 1 << 20
 BANDS, ROWS = 36, 6
@@ -66,18 +66,18 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _sketch(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            row, texts, ids = batch.columns
+            row, texts, ids, hashes = batch.columns
             for a, b, data, offsets in textnum.runs(texts):
                 n, keys, bands = [], [], []
                 for s in textnum.shingle_sets(data, offsets, width):
                     n.append(len(s))
                     keys.append(_key(s))
                     bands.append(band_keys(signature(s)).view(np.int64) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), row.slice(a, b - a), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), row.slice(a, b - a), hashes.slice(a, b - a), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -114,6 +114,7 @@ def components(links: DataFrame) -> DataFrame:
         to = labels.select(F.col("node").alias("n2"), F.col("comp").alias("c2"))
         fresh = cut(near.join(to, near["now"] == to["n2"], "left").select("node", "was", F.least("now", F.coalesce("c2", "now")).alias("comp")))
         labels = fresh.select("node", "comp")
+        release(links.sparkSession)
         if not fresh.where(F.col("was") != F.col("comp")).head(1):
             return labels
 
@@ -143,20 +144,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
+    return _marked(docs, width, percent).drop("text_hash")
+
+
+def _marked(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """near_duplicates() and a hash of each text, which tells rows with one doc_id apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    keyed = texts.select(F.coalesce("doc_id", F.xxhash64("text")).alias("row"), "text", "doc_id")
-    rows = cut(keyed.mapInArrow(_sketch(width), "doc_id long, row long, n_shingles long, cls binary, bands array<bigint>"))
+    keyed = texts.select(F.coalesce("doc_id", F.xxhash64("text")).alias("row"), "text", "doc_id", F.xxhash64("text").alias("text_hash"))
+    rows = cut(keyed.mapInArrow(_sketch(width), "doc_id long, row long, text_hash long, n_shingles long, cls binary, bands array<bigint>"))
     classes = cut(rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("row").alias("holder"), F.count("*").alias("members"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    labels = _linked(keyed, classes, width, percent)
-    named = classes.select("cls", "least", "members").join(labels, F.col("cls") == F.col("node"), "left").select("cls", "least", "members", F.coalesce("comp", "cls").alias("comp"))
-    named = cut(named)
-    firsts = named.groupBy("comp").agg(F.min("least").alias("found"), F.count("*").alias("parts"))
-    n_classes = named.count()
-    found = cut(skew_join(named, firsts, "comp", "parts", n_classes, "left").select("cls", "members", "found"))
-    out = skew_join(rows.select("doc_id", "n_shingles", "cls"), found, "cls", "members", rows.count(), "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("found"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    labels = cut(_linked(keyed, classes, width, percent).join(classes.select("cls", "least"), F.col("node") == F.col("cls")).select("cls", "least", "comp"))
+    firsts = labels.groupBy("comp").agg(F.min("least").alias("first"), F.count("*").alias("parts"))
+    linked = skew_join(labels.select("cls", "comp"), cut(firsts), "comp", "parts", labels.count(), "left").select(F.col("cls").alias("node"), "first")
+    # a class of one row that is linked with no other has its own doc_id for a component: it needs no join
+    found = classes.select("cls", "least", "members").join(cut(linked), F.col("cls") == F.col("node"), "left").where((F.col("members") > 1) | F.col("node").isNotNull())
+    found = cut(found.select("cls", "members", F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("first")).alias("found"), F.lit(True).alias("joined")))
+    release(docs.sparkSession)
+    out = skew_join(rows.select("doc_id", "text_hash", "n_shingles", "cls"), found, "cls", "members", rows.count(), "left")
+    component = F.when(F.col("joined"), F.col("found")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _sized(percent: int):
@@ -190,9 +197,12 @@ def _linked(keyed: DataFrame, classes: DataFrame, width: int, percent: int) -> D
             other = rest.select("band", F.col("cls").alias("a"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
             pairs = rest.select("band", F.col("cls").alias("b"), "n", "comp", "bm").join(other, "band").where((F.col("comp") != F.col("pc")) & (F.col("a") < F.col("b")))
         pairs = pairs.where(_sized(percent)).groupBy("a", "b").agg((F.max("bm") > HOT_BUCKET).alias("hot"))
-        new = cut(_verified(cut(pairs), sets, percent))
-        links = new if links is None else links.union(new)
-        labels = components(links)
+        pairs = cut(pairs)
+        new = cut(_verified(pairs, sets, percent)) if pairs.head(1) else None
+        release(classes.sparkSession)
+        if new is not None and new.head(1):
+            links = new if links is None else links.union(new)
+            labels = components(links)
     return labels
 
 
@@ -202,9 +212,9 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     Of repeated rows with that doc_id each stays; rows whose doc_id is null stay only if no row of
     their component has a doc_id.
     """
-    marks = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    loose = docs.where(F.col("doc_id").isNull())
-    return docs.where(F.col("doc_id").isNotNull()).join(marks, docs["doc_id"] == marks["__gone"], "left_anti").unionByName(loose)
+    gone = _marked(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).distinct()
+    rows = docs.withColumn("__text", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return rows.join(gone, rows["doc_id"].eqNullSafe(gone["__doc"]) & (rows["__text"] == gone["__hash"]), "left_anti").drop("__text")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
