@@ -307,6 +307,20 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.where("vec_id < 3"), df.where("vec_id < 3")).count() == 6
 
 
+def test_nearest_neighbours_among_near_copies(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(3000, 32)).astype(np.float32)
+    v[::3] = v[0] + rng.normal(size=(1000, 32)).astype(np.float32) * np.float32(0.01)
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(3000)], "vec_id long, embedding array<float>")
+    out = collections.defaultdict(list)
+    for r in ann.search(df, df.where("vec_id % 100 = 0"), rerank=24, sample=300).orderBy("query_id", "rank").collect():
+        out[r.query_id].append(r.vec_id)
+    x = v.astype(np.float64)
+    for q in range(0, 3000, 100):
+        s = x @ x[q]
+        assert out[q] == sorted((i for i in range(3000) if i != q), key=lambda i: (-s[i], i))[:20]
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "é" * 80
     rows = [(5, "http://a/", long), (3, "http://b/\r\nX: y", long), (9, None, long), (None, "http://n/", long), (1, "http://c/", "short"), (2, "http://d/", "short"), (4, "http://e/", None), (7, "http://f/", ""), (8, "http://g/", "z" * 300000)]

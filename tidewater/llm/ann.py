@@ -5,8 +5,12 @@ trained on the residuals of a bounded sample; encoding searches with a beam, and
 of the sum is stored beside the codes (it orders the beam, and turns the scores into distances
 where those are asked for). A query's table of inner products with all codewords scores a code by
 lookups. The best candidates by those scores are then ranked by exact inner products in double
-precision. Equal vectors are coded once, so a vector that very many rows hold crowds nothing out:
-searches find distinct vectors, and each stands for its rows with the smallest ids. Edge cases:
+precision. By Cauchy and Schwarz a table score errs by at most the query's norm times the norm of
+what the codes leave of the vector, which is stored too: where that allows a vector beyond the
+candidates to be among the nearest, the query is answered by an exact scan of all vectors in blocks.
+So results are the true nearest, and the codes only save work. Equal vectors are coded once, so a
+vector that very many rows hold crowds nothing out: searches find distinct vectors, and each stands
+for its rows with the smallest ids. Edge cases:
 
 * vectors that are null, empty, zero, or hold a null or a non-finite number take no part, nor do
   vectors of another length than most or rows with a null vec_id;
@@ -16,7 +20,7 @@ searches find distinct vectors, and each stands for its rows with the smallest i
 
 from __future__ import annotations
 
-import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +38,8 @@ BEAM = 4
 #: Codebooks are fitted on at most this many distinct vectors (the lowest hashes); all are encoded.
 SAMPLE = 8192
 
-#: Distinct vectors that a query's table scores keep for the exact ranking.
+#: Distinct vectors that a query's table scores keep for the exact ranking; it decides which queries
+#: need the exact scan, not what is found.
 RERANK = 256
 
 #: Vectors of a block of codes, and queries of a block of queries.
@@ -67,6 +72,18 @@ class Quantiser:
         found = sums[np.arange(n), best]
         return codes[np.arange(n), best], (found * found).sum(1)
 
+    def left(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The norm of what the codes leave of each vector, in double precision, rounded up."""
+        rest = x.astype(np.float64)
+        for m, book in enumerate(self.books):
+            rest = rest - book[codes[:, m]]
+        return np.sqrt((rest * rest).sum(1)) * (1 + 1e-12)
+
+    def rounding(self) -> float:
+        """How far a table score of a query of norm 1 may be off by single precision alone."""
+        longest = np.sqrt((self.books.astype(np.float64) ** 2).sum(2).max(1)).sum()
+        return float(2 * (sum(self.books.shape[::2]) + 4) * np.finfo(np.float32).eps * longest)
+
 
 def train(sample: np.ndarray, rounds: int = 6, seed: int = 3) -> Quantiser:
     """k-means on the residuals of one codebook after another."""
@@ -105,6 +122,37 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.unhex(F.md5(text)))
 
 
+def _blocks(batches, size: int):
+    """Tables of `size` rows each, the last one of fewer."""
+    held, n = [], 0
+    for batch in batches:
+        while len(batch):
+            held.append(batch.slice(0, size - n))
+            batch = batch.slice(size - n)
+            n += len(held[-1])
+            if n == size:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _query_blocks(batches):
+    for t in _blocks(batches, QUERY_BLOCK):
+        yield pa.RecordBatch.from_pydict({"queries": pa.array([t["vec_id"].to_numpy().tobytes()], pa.binary()), "q": pa.array([_matrix(t["v"].combine_chunks()).astype(np.float64).tobytes()], pa.binary())})
+
+
+def _meet(left: DataFrame, asked: DataFrame) -> DataFrame:
+    """Every block of left beside every block of queries: block, queries, q and the columns of left."""
+    right = cut(asked.mapInArrow(_query_blocks, "queries binary, q binary").withColumn("block", F.monotonically_increasing_id()))
+    numbers = [r["block"] for r in right.select("block").collect()]  # one number a block of queries
+    met = left.withColumn("block", F.explode(F.array(*(F.lit(b) for b in numbers)))) if numbers else left.withColumn("block", F.lit(-1).cast("long"))
+    met = met.join(right, "block").select("block", "queries", "q", *left.columns)
+    # dealt by a hash of the block, not the join's own key: an exchange that the planner keeps, and
+    # that no split of a skewed join reaches, so a task sees all blocks that its queries meet
+    return met.repartition(F.hash("block")).sortWithinPartitions("block")
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of rows (vec_id, embedding) for each of queries, itself aside.
 
@@ -131,50 +179,39 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RERAN
         for batch in batches:
             for a in range(0, len(batch), 512):
                 some = batch.slice(a, 512)
-                codes, norms = shared.value.encode(_matrix(some.column(1)).astype(np.float32))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], names=["key", "least", "codes", "norm"])
-
-    def blocks(batches, size: int):
-        """Tables of `size` rows each, the last one of fewer."""
-        held, n = [], 0
-        for batch in batches:
-            while len(batch):
-                held.append(batch.slice(0, size - n))
-                batch = batch.slice(size - n)
-                n += len(held[-1])
-                if n == size:
-                    yield pa.Table.from_batches(held).combine_chunks()
-                    held, n = [], 0
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks()
+                x = _matrix(some.column(1))
+                codes, norms = shared.value.encode(x.astype(np.float32))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32()), pa.array(shared.value.left(x, codes), pa.float64())], names=["key", "least", "codes", "norm", "left"])
 
     def code_blocks(batches):
-        for t in blocks(batches, CODE_BLOCK):
-            yield pa.RecordBatch.from_pydict({"keys": pa.array([b"".join(t["key"].to_pylist())], pa.binary()), "least": pa.array([t["least"].to_numpy().tobytes()], pa.binary()), "codes": pa.array([b"".join(t["codes"].to_pylist())], pa.binary())})
-
-    def query_blocks(batches):
-        for t in blocks(batches, QUERY_BLOCK):
-            yield pa.RecordBatch.from_pydict({"queries": pa.array([t["vec_id"].to_numpy().tobytes()], pa.binary()), "q": pa.array([_matrix(t["v"].combine_chunks()).astype(np.float32).tobytes()], pa.binary())})
+        for t in _blocks(batches, CODE_BLOCK):
+            yield pa.RecordBatch.from_pydict({"keys": pa.array([b"".join(t["key"].to_pylist())], pa.binary()), "least": pa.array([t["least"].to_numpy().tobytes()], pa.binary()), "codes": pa.array([b"".join(t["codes"].to_pylist())], pa.binary()), "left": pa.array([t["left"].to_numpy().tobytes()], pa.binary())})
 
     def scan(batches):
-        """Keeps the best of each query while the code blocks of its block of queries pass by."""
+        """Keeps the best of each query while the code blocks of its block of queries pass by, and the
+        most that the inner product with any other vector may be."""
         books = shared.value.books
         at, held, names = None, None, None
 
         def finish():
             for a in range(0, len(names), 256):
-                keys, ids, s, of = (np.concatenate(c) for c in zip(*(held[j] + (np.full(len(held[j][1]), names[j]),) for j in range(a, min(len(names), a + 256))), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(keys.tolist(), pa.binary())], names=["query_id", "key"])
+                keys, ids, s, u, of, most = (np.concatenate(c) for c in zip(*(held[j] + (np.full(len(held[j][1]), names[j]), np.full(len(held[j][1]), beyond[j])) for j in range(a, min(len(names), a + 256))), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(keys.tolist(), pa.binary()), pa.array(most, pa.float64())], names=["query_id", "key", "most"])
 
         for batch in batches:
-            for block, keys, least, codes, queries, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, queries, q, keys, least, codes, left in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != at:
                     if at is not None:
                         yield from finish()
                     at, names = block, np.frombuffer(queries, np.int64)
-                    held = [(np.zeros(0, "V16"), np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(names)
-                    tables = np.einsum("qd,mkd->mkq", np.frombuffer(q, np.float32).reshape(-1, books.shape[2]), books, optimize=True)
+                    held = [(np.zeros(0, "V16"), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0))] * len(names)
+                    beyond = np.full(len(names), -np.inf)
+                    asks = np.frombuffer(q, np.float64).reshape(-1, books.shape[2])
+                    length = np.sqrt((asks * asks).sum(1)) * (1 + 1e-12)
+                    tables = np.einsum("qd,mkd->mkq", asks.astype(np.float32), books, optimize=True)
+                    off = shared.value.rounding()
                 ids, code, key = np.frombuffer(least, np.int64), np.frombuffer(codes, np.uint8).reshape(-1, CODEBOOKS), np.frombuffer(keys, "V16")
+                slack = np.frombuffer(left, np.float64) + off
                 for a in range(0, len(names), 64):
                     scores = np.zeros((len(code), len(names[a : a + 64])), np.float32)
                     for m in range(CODEBOOKS):
@@ -182,30 +219,85 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, rerank: int = RERAN
                     keep = min(rerank, len(code))
                     edge = -np.partition(-scores, keep - 1, axis=0)[keep - 1]
                     for j in range(len(edge)):
-                        tied = np.flatnonzero(scores[:, j] >= edge[j])
-                        k0, i0, s0 = held[a + j]
-                        k1, i1, s1 = np.concatenate([k0, key[tied]]), np.concatenate([i0, ids[tied]]), np.concatenate([s0, scores[tied, j]])
-                        best = np.lexsort((i1, -s1))[:rerank]
-                        held[a + j] = k1[best], i1[best], s1[best]
+                        upper = scores[:, j] + length[a + j] * slack
+                        some = scores[:, j] >= edge[j]
+                        k0, i0, s0, u0 = held[a + j]
+                        k1, i1, s1, u1 = np.concatenate([k0, key[some]]), np.concatenate([i0, ids[some]]), np.concatenate([s0, scores[some, j]]), np.concatenate([u0, upper[some]])
+                        order = np.lexsort((i1, -s1))
+                        best, out = order[:rerank], order[rerank:]
+                        # a number that is not one stays the most, and no query passes with it
+                        beyond[a + j] = np.max(np.concatenate([[beyond[a + j]], upper[~some], u1[out]]))
+                        held[a + j] = k1[best], i1[best], s1[best], u1[best]
         if at is not None:
             yield from finish()
 
-    coded = cut(vectors.select("key", "v", "least").mapInArrow(encode, "key binary, least long, codes binary, norm float"))
+    coded = cut(vectors.select("key", "v", "least").mapInArrow(encode, "key binary, least long, codes binary, norm float, left double"))
     asked = distinct_vectors(queries).select("vec_id", "v").dropDuplicates(["vec_id"])
     asked = cut(asked)
-    left = coded.select("key", "least", "codes").mapInArrow(code_blocks, "keys binary, least binary, codes binary")
-    right = cut(asked.mapInArrow(query_blocks, "queries binary, q binary").withColumn("block", F.monotonically_increasing_id()))
-    numbers = [r["block"] for r in right.select("block").collect()]  # one number a block of queries
-    met = left.withColumn("block", F.explode(F.array(*(F.lit(b) for b in numbers)))) if numbers else left.withColumn("block", F.lit(-1).cast("long"))
-    met = met.join(right, "block").select("block", "keys", "least", "codes", "queries", "q")
-    # dealt by a hash of the block, not the join's own key: an exchange that the planner keeps, and
-    # that no split of a skewed join reaches, so a task sees all code blocks of its queries
-    met = met.repartition(F.hash("block")).sortWithinPartitions("block")
-    return _exact(cut(met.mapInArrow(scan, "query_id long, key binary")), asked, vectors, members, k)
+    met = _meet(coded.select("key", "least", "codes", "left").mapInArrow(code_blocks, "keys binary, least binary, codes binary, left binary"), asked)
+    near = cut(_exact(cut(met.mapInArrow(scan, "query_id long, key binary, most double")), asked, vectors, members, k))
+    # the last of k + 1 must beat whatever the candidates left out
+    last = near.groupBy("query_id").agg(F.max("most").alias("most"), F.min(F.when(F.col("r") == k + 1, F.col("score"))).alias("last"))
+    proven = (F.col("most") == -math.inf) | F.coalesce(F.col("last") > F.col("most"), F.lit(False))
+    open_ones = cut(last.where(~proven).select(F.col("query_id").alias("vec_id")))
+    if not open_ones.isEmpty():
+        again = _scan_exactly(vectors, asked.join(open_ones, "vec_id", "left_semi"), members, k)
+        near = near.join(open_ones, near["query_id"] == open_ones["vec_id"], "left_anti").select(again.columns).unionByName(again)
+    each = near.select("query_id", "score", F.explode("ids").alias("vec_id")).where(F.col("vec_id") != F.col("query_id"))
+    final = each.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return final.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _scan_exactly(vectors: DataFrame, asked: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """What _exact gives, from the inner products of every vector with each of asked, block by block."""
+
+    def vector_blocks(batches):
+        for t in _blocks(batches, CODE_BLOCK):
+            yield pa.RecordBatch.from_pydict({"keys": pa.array([b"".join(t["key"].to_pylist())], pa.binary()), "least": pa.array([t["least"].to_numpy().tobytes()], pa.binary()), "x": pa.array([_matrix(t["v"].combine_chunks()).tobytes()], pa.binary()), "kind": pa.array([_matrix(t["v"].combine_chunks()).dtype.str])})
+
+    def scan(batches):
+        at, held, names = None, None, None
+
+        def finish():
+            keys, ids, s, of = (np.concatenate(c) for c in zip(*(h + (np.full(len(h[1]), name),) for h, name in zip(held, names, strict=True)), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(keys.tolist(), pa.binary()), pa.array([-math.inf] * len(of), pa.float64())], names=["query_id", "key", "most"])
+
+        for batch in batches:
+            for block, queries, q, keys, least, x, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != at:
+                    if at is not None:
+                        yield from finish()
+                    at, names = block, np.frombuffer(queries, np.int64)
+                    asks = np.frombuffer(q, np.float64).reshape(len(names), -1)
+                    held = [(np.zeros(0, "V16"), np.zeros(0, np.int64), np.zeros(0))] * len(names)
+                ids, key, v = np.frombuffer(least, np.int64), np.frombuffer(keys, "V16"), np.frombuffer(x, kind).reshape(-1, asks.shape[1]).astype(np.float64)
+                # two ways to sum a product differ by less
+                off = 4 * (asks.shape[1] + 4) * np.finfo(np.float64).eps * np.sqrt((v * v).sum(1).max()) * np.sqrt((asks * asks).sum(1))
+                for a in range(0, len(names), 64):
+                    rough = v @ asks[a : a + 64].T
+                    keep = min(k + 1, len(v))
+                    edge = -np.partition(-rough, keep - 1, axis=0)[keep - 1]
+                    for j in range(len(edge)):
+                        k0, i0, s0 = held[a + j]
+                        floor = max(edge[j], s0[-1]) if len(s0) > k else edge[j]
+                        some = np.flatnonzero(~(rough[:, j] < floor - off[a + j]))
+                        exact = _products(v[some], np.broadcast_to(asks[a + j], (len(some), asks.shape[1])))
+                        k1, i1, s1 = np.concatenate([k0, key[some]]), np.concatenate([i0, ids[some]]), np.concatenate([s0, exact])
+                        best = np.lexsort((i1, -s1))[: k + 1]
+                        held[a + j] = k1[best], i1[best], s1[best]
+        if at is not None:
+            yield from finish()
+
+    met = _meet(vectors.select("key", "v", "least").mapInArrow(vector_blocks, "keys binary, least binary, x binary, kind string"), asked)
+    return _exact(cut(met.mapInArrow(scan, "query_id long, key binary, most double")), asked, vectors, members, k).drop("most", "r")
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", a.astype(np.float64), np.ascontiguousarray(b, np.float64))
 
 
 def _exact(top: DataFrame, asked: DataFrame, vectors: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """Exact scores of candidates, and the rows they stand for, ranked."""
+    """query_id, score, ids, most, r: the k + 1 best candidates by exact scores, and the rows they stand for."""
     often = top.groupBy("key").agg(F.count("*").alias("n"))
     kept = cut(vectors.select("key", "v", "least").join(members, "key").join(often, "key"))
     pairs = skew_join(top, kept, "key", "n", top.count(), "inner")
@@ -213,15 +305,13 @@ def _exact(top: DataFrame, asked: DataFrame, vectors: DataFrame, members: DataFr
 
     def score(batches):
         for batch in batches:
-            got = np.einsum("ij,ij->i", _matrix(batch.column(2)).astype(np.float64), _matrix(batch.column(3)).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(got, pa.float64())], names=["query_id", "ids", "least", "score"])
+            got = _products(_matrix(batch.column(2)), _matrix(batch.column(3)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), batch.column(5), pa.array(got, pa.float64())], names=["query_id", "ids", "least", "most", "score"])
 
-    scored = pairs.select("query_id", "ids", "v", "q", "least").mapInArrow(score, "query_id long, ids array<long>, least long, score double")
+    scored = pairs.select("query_id", "ids", "v", "q", "least", "most").mapInArrow(score, "query_id long, ids array<long>, least long, most double, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "least")
     near = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
-    each = near.select("query_id", "score", F.explode("ids").alias("vec_id")).where(F.col("vec_id") != F.col("query_id"))
-    final = each.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return final.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.select("query_id", "score", "ids", "most", "r")
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
