@@ -276,6 +276,20 @@ def test_lm_scores(docs, empty):
     assert {r.score for r in lmscore.score(docs.withColumn("held_out", F.lit(False)), lmscore.train(empty)).collect()} == {0.0}
 
 
+def test_lm_filter_grows_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "MAX_BITS", 1 << 16, raising=False)
+    monkeypatch.setattr(lmscore, "SLICE_BYTES", 1 << 12, raising=False)
+    rows = [(i, " ".join(f"w{i * 7 + j}" for j in range(60)) + " both ends") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False))
+    many = lmscore.train(docs)
+    assert many.false_positives < 0.05
+    absent = lmscore.textnum.mix(np.arange(1, 5001, dtype=np.uint64))
+    assert (many.counts(absent) > 0).mean() < 0.05
+    monkeypatch.setattr(lmscore, "SLICE_BYTES", 1 << 25, raising=False)
+    got = [{r.doc_id: (r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in lmscore.score(docs, m).collect()} for m in (many, lmscore.train(docs))]
+    assert got[0] == got[1] and len(got[0]) == 1000 and {x[0] for x in got[0].values()} == {63}
+
+
 def test_bloom_counts_are_quantised():
     keys = lmscore.textnum.mix(np.arange(1, 2001, dtype=np.uint64)) >> np.uint64(6)
     counts = np.repeat([1, 2, 5, 100], 500)

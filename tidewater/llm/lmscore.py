@@ -4,9 +4,11 @@ Training counts words and word pairs over all training texts: tasks combine the
 texts in numpy and send (hash range, hashes, counts) blocks, so a word that is in every text is one
 entry a block. Counts are quantised to powers of BASE; an n-gram of level q is put into the filter
 q times, once for each level up to its own, and a lookup probes level after level until one is
-missing. Each hash range owns its segment of the filter, so segments are built apart and joined.
-The filter has about BITS_PER_ENTRY bits for each entry, never more than MAX_BITS, the bound on
-what is broadcast; beyond it false positives rise, to a rate that Scorer.false_positives tells.
+missing. Each hash range owns its segment of the filter, so segments are built apart, as files in
+the shared folder. The filter has at least BITS_PER_ENTRY bits for each entry whatever the input
+holds, so the rate of false positives (Scorer.false_positives) does not rise with it. Workers look
+up the distinct words and pairs of LOOKUP_BYTES of text at once and read segments for that a slice
+of at most SLICE_BYTES at a time, so no filter is held whole or broadcast.
 Pairs seen fewer than PAIR_LEAST times are not stored and count as unseen.
 
 The probability of a token is PAIR_WEIGHT of its share among what followed the word before, as the
@@ -23,7 +25,7 @@ SLICE words at a time, so no table of all words is held or broadcast. Edge cases
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +40,14 @@ BASE = 2.0
 LEVELS = 40
 PROBES = 4
 BITS_PER_ENTRY = 12
-MAX_BITS = 1 << 30
 PAIR_LEAST = 2
 PAIR_WEIGHT = 0.5
 SLICE = 6_000_000
+SLICE_BYTES = 32 << 20
+
+#: Bytes of text whose words and pairs a scoring task looks up together.
+LOOKUP_BYTES = 16 << 20
+LOOKUP_KEYS = 1 << 17
 
 #: Bytes of text whose counts a task combines before it sends them.
 BLOCK_BYTES = 16 << 20
@@ -162,7 +168,11 @@ def build_segment(keys: np.ndarray, levels: np.ndarray, segment_bits: int) -> np
 
 @dataclass
 class Scorer:
-    """What scoring needs: the filter, corpus totals, and where the exact counts are."""
+    """What scoring needs: the filter, corpus totals, and where the exact counts are.
+
+    segments: slices of the filter, each a first hash range and the files of the ranges from there
+    on (none for a range of no entries); without any, the filter is the whole of it.
+    """
 
     filter: np.ndarray
     shift: int
@@ -171,6 +181,7 @@ class Scorer:
     words: int
     entries: int
     slices: list[list[tuple[str, int]]]
+    segments: list[tuple[int, list[str | None]]] = field(default_factory=list)
 
     @property
     def false_positives(self) -> float:
@@ -181,20 +192,56 @@ class Scorer:
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts as the filter knows them: the middle of the highest level found in unbroken order, else 0."""
         level = np.zeros(len(keys), np.int64)
-        left = np.arange(len(keys))
-        base = (keys >> np.uint64(self.shift)).astype(np.int64) * self.segment_bits
-        for j in range(1, LEVELS + 1):
-            alive = np.arange(len(left))
-            for place in _places(keys[left], j, self.segment_bits):
-                at = base[left[alive]] + place[alive].astype(np.int64)
-                alive = alive[(self.filter[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            left = left[alive]
-            level[left] = j
-            if not len(left):
-                break
+        place = (keys >> np.uint64(self.shift)).astype(np.int64)
+        for start, paths in self.segments or [(0, None)]:
+            some = np.arange(len(keys)) if paths is None else np.flatnonzero((place >= start) & (place < start + len(paths)))
+            if len(some):
+                bits = self.filter if paths is None else _bits(paths, self.segment_bits // 8, len(self.segments) == 1)
+                level[some] = _found(bits, keys[some], (place[some] - start) * self.segment_bits, self.segment_bits)
         return np.where(level > 0, (BASE ** (level - 1) + np.maximum(BASE**level - 1, BASE ** (level - 1))) / 2, 0.0)
 
 
+def _found(bits: np.ndarray, keys: np.ndarray, base: np.ndarray, segment_bits: int) -> np.ndarray:
+    """The highest level of each key found in unbroken order; base is where its segment begins."""
+    level = np.zeros(len(keys), np.int64)
+    for a in range(0, len(keys), LOOKUP_KEYS):
+        level[a : a + LOOKUP_KEYS] = _found_in(bits, keys[a : a + LOOKUP_KEYS], base[a : a + LOOKUP_KEYS], segment_bits)
+    return level
+
+
+def _found_in(bits: np.ndarray, keys: np.ndarray, base: np.ndarray, segment_bits: int) -> np.ndarray:
+    level = np.zeros(len(keys), np.int64)
+    left = np.arange(len(keys))
+    for j in range(1, LEVELS + 1):
+        alive = np.arange(len(left))
+        for place in _places(keys[left], j, segment_bits):
+            at = base[left[alive]] + place[alive].astype(np.int64)
+            alive = alive[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        left = left[alive]
+        level[left] = j
+        if not len(left):
+            break
+    return level
+
+
+_BITS: dict[str, np.ndarray] = {}
+
+
+def _bits(paths: list[str | None], size: int, keep: bool) -> np.ndarray:
+    """The bytes of some segments of the filter; the only slice there is stays in the worker."""
+    name = next((x for x in paths if x), "")
+    if name in _BITS:
+        return _BITS[name]
+    _BITS.clear()  # of another model, before this one takes room
+    got = np.zeros(len(paths) * size, np.uint8)
+    for i, path in enumerate(paths):
+        if path:
+            got[i * size : (i + 1) * size] = np.frombuffer(read_all(path), np.uint8)
+    if keep:
+        _BITS[name] = got
+    return got
+
+
 _SLICES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -203,14 +250,14 @@ def _slice(files: list[tuple[str, int]], keep: bool) -> tuple[np.ndarray, np.nda
     name = files[0][0]
     if name in _SLICES:
         return _SLICES[name]
-    keys, counts = [], []
+    _SLICES.clear()
+    got = np.empty(sum(n for _, n in files), np.uint64), np.empty(sum(n for _, n in files), np.int64)
+    at = 0
     for path, n in files:
         raw = read_all(path)
-        keys.append(np.frombuffer(raw, np.uint64, n))
-        counts.append(np.frombuffer(raw, np.int64, n, 8 * n))
-    got = np.concatenate(keys), np.concatenate(counts)
+        got[0][at : at + n], got[1][at : at + n] = np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.int64, n, 8 * n)
+        at += n
     if keep:
-        _SLICES.clear()
         _SLICES[name] = got
     return got
 
@@ -228,62 +275,87 @@ def train(docs: DataFrame) -> Scorer:
     sums = cut(sums)
     files = sums.select("range", "path", "words", "tokens", "entries").orderBy("range").collect()  # one row a range
     entries = sum(r["entries"] for r in files)
-    bits = min(MAX_BITS, max(1 << 16, 1 << (BITS_PER_ENTRY * max(1, entries) - 1).bit_length()))
+    bits = max(1 << 16, 1 << (BITS_PER_ENTRY * max(1, entries) - 1).bit_length())
     segment_bits = max(8, bits // ranges)
 
     def segments(batches):
         for batch in batches:
             for r, keys, levels in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 got = build_segment(np.frombuffer(keys, np.uint64), np.frombuffer(levels, np.uint8), segment_bits)
-                yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "bits": pa.array([got.tobytes()], pa.binary())})
+                path = write_once(folder, f"bits-{r}", got.tobytes())
+                yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "path": pa.array([path])})
 
-    whole = np.zeros(ranges * (segment_bits // 8), np.uint8)
-    for r in sums.select("range", "keys", "levels").mapInArrow(segments, "range int, bits binary").toLocalIterator():
-        whole[r["range"] * (segment_bits // 8) : (r["range"] + 1) * (segment_bits // 8)] = np.frombuffer(r["bits"], np.uint8)
+    built = {r["range"]: r["path"] for r in sums.select("range", "keys", "levels").mapInArrow(segments, "range int, path string").collect()}  # one row a range
+    many = max(1, SLICE_BYTES // (segment_bits // 8))
+    parts = [(a, [built.get(r) for r in range(a, min(ranges, a + many))]) for a in range(0, ranges, many)] if built else []
+    whole = np.zeros(0 if built else ranges * (segment_bits // 8), np.uint8)
     slices: list[list[tuple[str, int]]] = []
     for r in files:
         if not slices or sum(n for _, n in slices[-1]) + r["words"] > SLICE:
             slices.append([])
         slices[-1].append((r["path"], r["words"]))
-    return Scorer(whole, shift, segment_bits, sum(r["tokens"] for r in files), sum(r["words"] for r in files), entries, slices)
+    return Scorer(whole, shift, segment_bits, sum(r["tokens"] for r in files), sum(r["words"] for r in files), entries, slices, parts)
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """doc_id, held_out (passed through), n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, held_out, text)."""
+    from pandas import factorize
+
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
-    def run(batches):
-        from pandas import factorize
+    def coded(h, first):
+        """Tokens and pairs of a run as (places, sorted distinct hashes) each, and first."""
+        out = []
+        for keys in (h, pair_hashes(h, first)[0]):
+            code, some = factorize(keys)
+            order = np.argsort(np.asarray(some, np.uint64))
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            out += [place[code], np.asarray(some, np.uint64)[order]]
+        return (*out, first)
 
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            runs = []
+            for _, _, data, offsets in textnum.runs(batch.column(2), RUN_BYTES):
+                runs.append(coded(*token_hashes(data, offsets)))
+                size += len(data)
+            # a copy, which does not hold the texts
+            held.append((batch.select([0, 1]).take(pa.array(np.arange(len(batch)))), runs))
+            if size >= LOOKUP_BYTES:
+                yield from scored(held)
+                held, size = [], 0
+        yield from scored(held)
+
+    def scored(held):
         m = shared.value
         floor = m.tokens + 1 * (m.words + 1)
-        for batch in batches:
+        runs = [r for _, some in held for r in some]
+        if not runs:
+            return
+        words, pairs = (np.unique(np.concatenate([r[i] for r in runs])) for i in (1, 3))
+        exact = np.zeros(len(words), np.int64)
+        for files in m.slices:
+            keys, counts = _slice(files, len(m.slices) == 1)
+            if len(keys):
+                lo, hi = np.searchsorted(words, keys[[0, -1]])
+                at = np.minimum(np.searchsorted(keys, words[lo : hi + 1]), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == words[lo : hi + 1])
+                exact[lo + hit] = counts[at[hit]]
+        guess, joint = m.counts(words), m.counts(pairs)
+        for batch, some in held:
             parts = []
-            for a, b, data, offsets in textnum.runs(batch.column(2), RUN_BYTES):
-                h, first = token_hashes(data, offsets)
-                code, words = factorize(h)
-                words = np.asarray(words, np.uint64)
-                exact = np.zeros(len(words), np.int64)
-                order = np.argsort(words)
-                for files in m.slices:
-                    keys, counts = _slice(files, len(m.slices) == 1)
-                    lo, hi = np.searchsorted(words[order], [keys[0], keys[-1]], ("left")) if len(keys) else (0, 0)
-                    some = order[lo : hi + 1]
-                    at = np.minimum(np.searchsorted(keys, words[some]), len(keys) - 1) if len(keys) else None
-                    if at is not None:
-                        hit = keys[at] == words[some]
-                        exact[some[hit]] = counts[at[hit]]
-                guess = m.counts(words)
-                pair, before = pair_hashes(h, first)
-                pcode, pairs = factorize(pair)
-                both = m.counts(np.asarray(pairs, np.uint64))[pcode]
+            for wplace, wsome, pplace, psome, first in some:
+                code = np.searchsorted(words, wsome)[wplace]
+                both = joint[np.searchsorted(pairs, psome)][pplace]
                 # the word before is a token of this run, or an end, which every text has
                 prior = np.roll(code, 1)
                 prior[first[:-1]] = code[first[1] - 1]
                 context = guess[prior]
                 share = np.where(context > 0, np.minimum(1.0, both / np.maximum(context, 1.0)), 0.0)
                 unigram = np.minimum(1.0, (guess[code] + 1) / floor)
-                p = PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * unigram if m.tokens else np.ones(len(h))
+                p = PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * unigram if m.tokens else np.ones(len(code))
                 base = np.log10((exact[code] + 1) / floor)
                 heads = first[:-1]
                 parts.append((np.diff(first), np.add.reduceat((exact[code] > 0).astype(np.int64), heads), np.add.reduceat(base, heads), np.add.reduceat(np.log10(p), heads)))
