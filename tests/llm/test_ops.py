@@ -290,6 +290,15 @@ def test_lm_filter_grows_with_the_corpus(spark, monkeypatch):
     assert got[0] == got[1] and len(got[0]) == 1000 and {x[0] for x in got[0].values()} == {63}
 
 
+def test_lm_knows_pairs_seen_once(spark):
+    train = spark.createDataFrame([(0, "once upon a time")], "doc_id long, text string")
+    held = spark.createDataFrame([(1, "once upon a time", True), (2, "time a upon once", True)], "doc_id long, text string, held_out boolean").select("doc_id", "held_out", "text")
+    got = {r.doc_id: r.score for r in lmscore.score(held, lmscore.train(train)).collect()}
+    # every pair of the first has the whole share of its word; no pair of the second was seen
+    floor = 5 + (5 + 1)
+    assert got[1] == pytest.approx(5 * math.log10(0.5 + 0.5 * 2 / floor)) and got[2] == pytest.approx(5 * math.log10(0.5 * 2 / floor))
+
+
 def test_bloom_counts_are_quantised():
     keys = lmscore.textnum.mix(np.arange(1, 2001, dtype=np.uint64)) >> np.uint64(6)
     counts = np.repeat([1, 2, 5, 100], 500)

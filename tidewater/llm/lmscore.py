@@ -9,7 +9,7 @@ the shared folder. The filter has at least BITS_PER_ENTRY bits for each entry wh
 holds, so the rate of false positives (Scorer.false_positives) does not rise with it. Workers look
 up the distinct words and pairs of LOOKUP_BYTES of text at once and read segments for that a slice
 of at most SLICE_BYTES at a time, so no filter is held whole or broadcast.
-Pairs seen fewer than PAIR_LEAST times are not stored and count as unseen.
+Words and pairs seen once are entries of level 1 like others.
 
 The probability of a token is PAIR_WEIGHT of its share among what followed the word before, as the
 filter knows both counts, and the rest the add-one unigram estimate from the filter. The exact
@@ -40,7 +40,6 @@ BASE = 2.0
 LEVELS = 40
 PROBES = 4
 BITS_PER_ENTRY = 12
-PAIR_LEAST = 2
 PAIR_WEIGHT = 0.5
 SLICE = 6_000_000
 SLICE_BYTES = 32 << 20
@@ -123,8 +122,7 @@ def _summed(folder: str):
         empty = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
         (w, wc), (p, pc) = _combined(words or empty), _combined(pairs or empty)
         path = write_once(folder, f"words-{place}", w.tobytes() + wc.tobytes())
-        some = pc >= PAIR_LEAST
-        keys, level = np.concatenate([w, p[some]]), levels_of(np.concatenate([wc, pc[some]]))
+        keys, level = np.concatenate([w, p]), levels_of(np.concatenate([wc, pc]))
         values = [place, path, len(w), int(wc.sum()), int(level.sum()), keys.tobytes(), level.astype(np.uint8).tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _SUMS.types, strict=True)], schema=_SUMS)
 
