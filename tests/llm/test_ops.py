@@ -176,6 +176,23 @@ def test_minhash_finds_all_links(docs, empty):
     assert set(range(120)) <= set(ids) and [i for i in ids if i is not None and 200 <= i < 400] == [200]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
+def test_shingles_of_a_run_of_few_words(n):
+    from tidewater.llm import textnum
+
+    text = " ".join("abcde"[:n])
+    alone = textnum.shingle_sets(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), 5)
+    longer = f"{text}{' '.join('fghijk')}"
+    beside = textnum.shingle_sets(np.frombuffer(longer.encode(), np.uint8), np.array([0, len(text), len(longer)]), 5)
+    assert len(alone) == 1 and alone[0].tolist() == beside[0].tolist() and len(alone[0]) == 1
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
+def test_keep_one_of_a_table_of_few_words(spark, n):
+    one = spark.createDataFrame([(7, " ".join("abcde"[:n]))], "doc_id long, text string")
+    assert [r.doc_id for r in minhash.keep_one(one, width=5, percent=80).collect()] == [7]
+
+
 def test_signature_is_circulant():
     h = np.array([3, 99, 12345], np.uint64)
     sig, table = minhash.signature(h), minhash.table()

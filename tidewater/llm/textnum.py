@@ -101,7 +101,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     whole = h.copy()
     with np.errstate(over="ignore"):
         for k in range(1, width):
-            whole[: len(h) - k] = mix(whole[: len(h) - k] * np.uint64(0x2545F4914F6CDD1D) + h[k:])
+            full = max(0, len(h) - k)
+            whole[:full] = mix(whole[:full] * np.uint64(0x2545F4914F6CDD1D) + h[k:])
         out = []
         for a, b in zip(first[:-1], first[1:], strict=True):
             if b - a >= width:
