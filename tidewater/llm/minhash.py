@@ -4,12 +4,23 @@ Two permutations give a whole signature: one scatters shingles over BINS places,
 out as a table and read from a place onward, shifts by one for each coordinate. So a shingle's
 values for all coordinates are one run of the table, and a signature is the minimum of such runs.
 
-Rows with equal shingle sets are one class. Bands of the signature put classes in buckets; a
-bucket is searched in rounds, each of which verifies all its classes against one pivot, joins
-linked classes into components and retires the pivot. Only what is still in several components
-after those rounds is compared pairwise (in buckets of one component no link can change the
-result). Every link is confirmed on the full sets. With BANDS and ROWS as they are, a pair at
-Jaccard 0.85 meets in no bucket with probability 4e-8, at 0.8 with 2e-5. Edge cases:
+Rows with equal shingle sets are one class. Bands of the signature put classes in buckets. No step
+compares the members of a bucket with each other:
+
+* every bucket names one member its centre, the one that meets most others over all its buckets,
+  and each member is compared with its centres on the full sets: at most one pair an entry of a
+  bucket. What a member has and its centre has not, or the reverse, is its difference; the members
+  of one centre are a star;
+* members of a star that are in another component than its centre choose a centre among
+  themselves, and so on while that finds links;
+* what may be linked still are two members of a star in different components, one of them not
+  linked with the centre. Their symmetric difference follows from their differences, so for a link
+  the differences must overlap by a number that only sizes decide, so they meet several times in
+  the first elements of both (prefix and position bounds of set similarity joins). Members are
+  joined on those elements, which few share; what passes the bounds is compared on full sets.
+
+So a link is lost only if its classes meet in no bucket: at Jaccard 0.85 with probability 4e-8, at 0.8
+with 2e-5. Every link is confirmed on the full sets. Edge cases:
 
 * null, empty or wordless text: an empty set, linked with nothing, its own component;
 * repeated rows with one doc_id keep a row each; a null doc_id takes part, and a component without
@@ -21,10 +32,12 @@ Jaccard 0.85 meets in no bucket with probability 4e-8, at 0.8 with 2e-5. Edge ca
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textnum
@@ -119,27 +132,98 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-SALTS = 64
+#: A pivot's set is repeated for every so many of its pairs, which spreads them over tasks.
+PAIRS_A_TASK = 512
 
-#: A pair from a bucket of more classes than this is dealt by salt as well as by its pivot.
-HOT_BUCKET = 512
+#: Rounds of new centres end when less than this share of their pairs are links.
+LEAST_YIELD = 0.05
 
+#: Differences must meet in this many elements more than one, in beginnings longer by as many.
+EXTRA = 2
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, hot) whose full sets reach 100 * intersection >= percent * union.
 
-    The set of a pivot with very many partners is repeated SALTS times, so its pairs spread.
+def overlap_bounds(n: int, diff: int, centre: int, percent: int) -> tuple[int, bool, int]:
+    """(weight, loose, length) of a star's member with n shingles that differs from its centre by diff of them.
+
+    With w the weights, two members of a star are linked if and only if their differences share at
+    least (w1 + w2) / (2 * (100 + percent)) elements; loose says whether the member is not linked
+    with the centre. Of two members that may be linked in spite of the centre one is loose, so in any
+    order that all share, the first `length` elements of both differences meet in EXTRA + 1 elements
+    (or in all that are needed, if fewer).
+    """
+    weight, most = (100 + percent) * diff - (100 - percent) * n, (100 - percent) * centre
+    if weight <= most:
+        least = -(-(weight + most + 1) // (2 * (100 + percent)))
+    else:
+        # the other differs by as many elements at least, or it could not share enough
+        other = (weight - most) / 200
+        least = math.ceil((weight + 2 * percent * other - most) / (2 * (100 + percent)) - 1e-9)
+    return weight, weight > most, max(0, min(diff, diff - max(1, least) + 1 + EXTRA))
+
+
+def _compared(percent: int, stars: bool):
+    """Compares pairs of sets; for stars of several members tells the first elements of the differences as well.
+
+    Elements that the centre lacks come first, as few members share them; prefix holds keys of
+    the centre and the element.
+    """
+
+    def sets_of(column):
+        values, at = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+        return (values[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
+
+    def run(batches):
+        for batch in batches:
+            a, b, members, score, sa, sb = batch.columns
+            out = []
+            for name, many, x, y in zip(a.to_pylist(), members.to_pylist(), sets_of(sa), sets_of(sb), strict=True):
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                both = x[at] == y
+                shared = int(both.sum())
+                link = 100 * shared >= percent * (len(x) + len(y) - shared)
+                if not stars or many < 2:
+                    out.append((link, len(y), 0, 0, False, None))
+                    continue
+                gone = np.delete(x, at[both])
+                order = np.concatenate([np.sort(textnum.mix(y[~both]) >> np.uint64(1)) | np.uint64(1 << 63), np.sort(textnum.mix(gone) >> np.uint64(1))])
+                weight, loose, length = overlap_bounds(len(y), len(order), len(x), percent)
+                keys = textnum.mix(order[:length] ^ np.frombuffer(name, np.uint64, 1)).view(np.int64)
+                out.append((link, len(y), len(order), weight, loose, keys))
+            kinds = [f.type for f in _COMPARED][4:]
+            yield pa.RecordBatch.from_arrays([a, b, members, score, *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))] if out else [pa.array([], f.type) for f in _COMPARED], schema=_COMPARED)
+
+    return run
+
+
+_COMPARED = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("members", pa.int64()), ("score", pa.int64()), ("link", pa.bool_()), ("n", pa.int64()), ("diff", pa.int64()), ("weight", pa.int64()), ("loose", pa.bool_()), ("prefix", pa.list_(pa.int64()))])
+_COMPARED_SQL = "a binary, b binary, members long, score long, link boolean, n long, diff long, weight long, loose boolean, prefix array<bigint>"
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, stars: bool = False) -> DataFrame:
+    """Pairs (a, b, members, score) with what _compared() finds; members is the number of pairs that a has.
+
+    Each set of b is sent once a pair; the set of a once for PAIRS_A_TASK of its pairs.
     """
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    pivots = pairs.groupBy("a").agg(F.max("hot").alias("hot"))
-    left = sets.join(pivots, sets["cls"] == pivots["a"]).select(F.col("cls").alias("ca"), F.col("s").alias("sa"), F.explode(salts).alias("sx"))
+    salts = lambda m: F.ceil(m / PAIRS_A_TASK).cast("int")
+    pivots = pairs.groupBy("a").agg(salts(F.max("members")).alias("salts"))
+    left = sets.join(pivots, sets["cls"] == pivots["a"]).select(F.col("cls").alias("ca"), F.col("s").alias("sa"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("sx"))
     right = sets.select(F.col("cls").alias("cb"), F.col("s").alias("sb"))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    rows = pairs.withColumn("x", salt)
+    rows = pairs.withColumn("x", F.pmod(F.xxhash64("b"), salts(F.col("members"))).cast("int"))
     rows = rows.join(right, rows["b"] == right["cb"]).join(left, (rows["a"] == left["ca"]) & (rows["x"] == left["sx"]))
-    shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    union = F.size("sa") + F.size("sb") - shared
-    return rows.where(100 * shared >= percent * union).select("a", "b")
+    return rows.select("a", "b", "members", "score", "sa", "sb").mapInArrow(_compared(percent, stars), _COMPARED_SQL)
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b, n, score) with members, the number of pairs of a."""
+    return skew_join(pairs, pairs.groupBy("a").agg(F.count("*").alias("members")), "a", "members", pairs.count(), "inner")
+
+
+def _with_component(rows: DataFrame, labels: DataFrame | None, node: str, name: str) -> DataFrame:
+    """rows with the component of a class, which is the class itself where it has no link."""
+    if labels is None:
+        return rows.withColumn(name, F.col(node))
+    known = labels.select(F.col("node").alias("__node"), F.col("comp").alias("__comp"))
+    return rows.join(known, F.col(node) == F.col("__node"), "left").withColumn(name, F.coalesce("__comp", node)).drop("__node", "__comp")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -151,7 +235,7 @@ def _marked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """near_duplicates() and a hash of each text, which tells rows with one doc_id apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    keyed = texts.select(F.coalesce("doc_id", F.xxhash64("text")).alias("row"), "text", "doc_id", F.xxhash64("text").alias("text_hash"))
+    keyed = texts.select(F.xxhash64("doc_id", "text").alias("row"), "text", "doc_id", F.xxhash64("text").alias("text_hash"))
     rows = cut(keyed.mapInArrow(_sketch(width), "doc_id long, row long, text_hash long, n_shingles long, cls binary, bands array<bigint>"))
     classes = cut(rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("row").alias("holder"), F.count("*").alias("members"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")))
     labels = cut(_linked(keyed, classes, width, percent).join(classes.select("cls", "least"), F.col("node") == F.col("cls")).select("cls", "least", "comp"))
@@ -166,44 +250,81 @@ def _marked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _sized(percent: int):
-    """Whether two set sizes allow the similarity."""
-    return (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
-
-
 def _linked(keyed: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """node, comp for every class that is linked with another."""
     entries = classes.select(F.explode("bands").alias("band"), "cls", "n")
     shared = entries.groupBy("band").agg(F.count("*").alias("m")).where(F.col("m") > 1)
     total = classes.count() * BANDS
-    buckets = cut(skew_join(entries, cut(shared), "band", "m", total, "inner"))
-    wanted = classes.join(buckets.select(F.col("cls").alias("w")).distinct(), F.col("cls") == F.col("w"), "left_semi").select("holder").distinct()
-    wanted = cut(wanted)
+    buckets = skew_join(entries, cut(shared), "band", "m", total, "inner")
+    buckets = cut(buckets.withColumn("score", F.sum(F.col("m") - 1).over(W.partitionBy("cls"))))  # at most BANDS rows a class
+    sets = _sets_of(keyed, classes, buckets, width)
+    centres = cut(buckets.groupBy("band").agg(F.max(F.struct("score", "cls", "n")).alias("c"), F.max("m").alias("bm")))
+    pairs = skew_join(buckets.drop("m"), centres, "band", "bm", total, "inner").where(F.col("cls") != F.col("c.cls"))
+    pairs = cut(pairs.groupBy(F.col("c.cls").alias("a"), F.col("cls").alias("b")).agg(F.max("c.n").alias("an"), F.max("n").alias("n"), F.max("score").alias("score")))
+    pairs = _counted(pairs).where((F.col("members") > 1) | _sized("an", "n", percent)).drop("an", "n")
+    compared = cut(_verified(pairs, sets, percent, stars=True))
+    links = compared.where("link").select("a", "b")
+    labels = components(links) if links.head(1) else None
+    stars = compared.where("members > 1")
+    links, labels = _more_centres(stars, links, labels, sets, percent)
+    more = _loose_links(stars, labels, sets, percent)
+    if more is not None:
+        labels = components(links.union(more))
+    return classes.select(F.col("cls").alias("node"), F.col("cls").alias("comp")).limit(0) if labels is None else labels
+
+
+def _sized(n: str, other: str, percent: int) -> Column:
+    """Whether two set sizes allow the similarity."""
+    return 100 * F.least(n, other) >= percent * F.greatest(n, other)
+
+
+def _sets_of(keyed: DataFrame, classes: DataFrame, buckets: DataFrame, width: int) -> DataFrame:
+    """cls and s, the full sets of the classes in buckets."""
+    wanted = cut(classes.join(buckets.select(F.col("cls").alias("w")).distinct(), F.col("cls") == F.col("w"), "left_semi").select("holder").distinct())
     texts = keyed.join(F.broadcast(wanted) if wanted.count() <= 5 * BROADCAST_ROWS else wanted, F.col("row") == F.col("holder"), "left_semi")
-    sets = texts.select("text").mapInArrow(_sets(width), "cls binary, s array<bigint>")
-    sets = cut(sets.dropDuplicates(["cls"]))
-    links, labels = None, classes.select(F.col("cls").alias("node"), F.col("cls").alias("comp")).limit(0)
-    for pick in (F.min, F.max, None):
-        # members of buckets that still hold more than one component
-        held = buckets.join(labels, F.col("cls") == F.col("node"), "left").select("band", "cls", "n", "m", F.coalesce("comp", "cls").alias("comp"))
-        spans = held.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("cls", "n", "comp")).alias("p0"), F.max(F.struct("cls", "n", "comp")).alias("p1"), F.count("*").alias("m"))
-        spans = cut(spans.where(F.col("c0") != F.col("c1")).select("band", F.col("m").alias("bm"), "p0", "p1"))
-        held = skew_join(held.drop("m"), spans, "band", "bm", total, "inner")
-        if pick is not None:
-            p = F.col("p0" if pick is F.min else "p1")
-            pairs = held.select(p["cls"].alias("a"), F.col("cls").alias("b"), p["n"].alias("pn"), "n", p["comp"].alias("pc"), "comp", "bm").where(F.col("comp") != F.col("pc"))
-        else:
-            rest = held.where((F.col("cls") != F.col("p0.cls")) & (F.col("cls") != F.col("p1.cls")))
-            other = rest.select("band", F.col("cls").alias("a"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
-            pairs = rest.select("band", F.col("cls").alias("b"), "n", "comp", "bm").join(other, "band").where((F.col("comp") != F.col("pc")) & (F.col("a") < F.col("b")))
-        pairs = pairs.where(_sized(percent)).groupBy("a", "b").agg((F.max("bm") > HOT_BUCKET).alias("hot"))
-        pairs = cut(pairs)
-        new = cut(_verified(pairs, sets, percent)) if pairs.head(1) else None
-        release(classes.sparkSession)
-        if new is not None and new.head(1):
-            links = new if links is None else links.union(new)
+    return cut(texts.select("text").mapInArrow(_sets(width), "cls binary, s array<bigint>").dropDuplicates(["cls"]))
+
+
+def _more_centres(stars: DataFrame, links: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """links and labels after members that are apart from their star's centres were compared with new ones."""
+    live = stars.select(F.col("a").alias("g"), F.col("b").alias("cls"), "n", "score")
+    centres = stars.select(F.col("a").alias("g"), F.col("a").alias("q"), F.col("members").alias("m")).distinct()
+    while True:
+        named = cut(_with_component(centres, labels, "q", "qc"))
+        held = skew_join(live, named, "g", "m", live.count(), "inner").where(F.col("cls") != F.col("q"))
+        live = cut(_with_component(held, labels, "cls", "comp").where(F.col("comp") != F.col("qc")).select("g", "cls", "n", "score"))
+        centres = cut(live.groupBy("g").agg(F.max(F.struct("score", "cls", "n")).alias("c"), F.count("*").alias("m")).where(F.col("m") > 1))
+        pairs = skew_join(live, centres, "g", "m", live.count(), "inner").where((F.col("cls") != F.col("c.cls")) & _sized("c.n", "n", percent))
+        pairs = cut(pairs.groupBy(F.col("c.cls").alias("a"), F.col("cls").alias("b")).agg(F.max("score").alias("score")))
+        centres = centres.select("g", F.col("c.cls").alias("q"), "m")
+        tests = pairs.count()
+        if not tests:
+            return links, labels
+        new = cut(_verified(_counted(pairs), sets, percent).where("link").select("a", "b"))
+        found = new.count()
+        if found:
+            links = links.union(new)
             labels = components(links)
-    return labels
+        release(stars.sparkSession)
+        if found < LEAST_YIELD * tests:
+            return links, labels
+
+
+def _loose_links(stars: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame | None:
+    """The links between members of a star that are in different components, None if there are no such members."""
+    rows = cut(_with_component(stars.select(F.xxhash64("a").alias("g"), "b", "diff", "weight", "loose", "prefix"), labels, "b", "comp"))
+    several = cut(rows.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("loose").alias("any"), F.count("*").alias("m")).where("any AND c0 <> c1").select("g", "m"))
+    rows = skew_join(rows, several, "g", "m", rows.count(), "inner")
+    each = rows.select("g", "b", "diff", "weight", "loose", "comp", F.posexplode("prefix").alias("pos", "key")).drop("m")
+    loose = each.where("loose").select(*(F.col(c).alias(f"{c}2") for c in each.columns if c not in ("loose", "g")), F.col("g").alias("g2"))
+    need = F.ceil((F.col("weight") + F.col("weight2")) / (2 * (100 + percent)) - 1e-9)
+    left = F.least(F.col("diff") - F.col("pos"), F.col("diff2") - F.col("pos2"))
+    met = each.join(loose, (F.col("key") == F.col("key2")) & (F.col("g") == F.col("g2")) & (F.col("comp") != F.col("comp2")) & (~F.col("loose") | (F.col("b") < F.col("b2"))) & (left + EXTRA >= need))
+    met = met.groupBy("g", "b", "b2", need.alias("need")).agg(F.count("*").alias("shared")).where(F.col("shared") >= F.least(F.col("need"), F.lit(EXTRA + 1)))
+    pairs = cut(met.select(F.col("b").alias("a"), F.col("b2").alias("b")).distinct().withColumn("score", F.lit(0).cast("long")))
+    if not pairs.head(1):
+        return None
+    return cut(_verified(_counted(pairs), sets, percent).where("link").select("a", "b"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
