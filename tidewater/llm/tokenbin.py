@@ -11,8 +11,9 @@ rank (uint32), doc_ids (int64), a byte a document that says whether its doc_id i
 document (int64), control bytes, data bytes.
 
 Edge cases: null text is empty and yields its end id alone; a null doc_id sorts first and reads
-back as null; repeated rows are written one after the other; very long texts are encoded whole; an
-empty table writes no file and gives an empty result; only doc_id and text are read.
+back as null; rows of one doc_id stand in the order of a hash of their texts, then of the texts
+(null first), so starts are the same in every run; very long texts are encoded whole; an empty table
+writes no file and gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -40,11 +41,12 @@ LENGTHS = np.array([[(c >> (2 * k)) & 3 for k in range(4)] for c in range(256)],
 
 def pack(ids: np.ndarray, counts: np.ndarray, doc_ids: list[int | None]) -> bytes:
     """One file: the ids of documents in a row, with their counts and doc_ids."""
-    seen, code, often = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((seen, -often))
-    rank = np.empty(len(seen), np.uint32)
-    rank[order] = np.arange(len(seen), dtype=np.uint32)
-    r = rank[code]
+    often = np.bincount(ids)
+    seen = np.flatnonzero(often).astype(np.uint32)
+    order = np.lexsort((seen, -often[seen]))
+    rank = np.empty(len(often), np.uint32)
+    rank[seen[order]] = np.arange(len(seen), dtype=np.uint32)
+    r = rank[ids]
     extra = (r >= 1 << 8).astype(np.uint8) + (r >= 1 << 16) + (r >= 1 << 24)
     quads = np.zeros(-(-len(r) // 4) * 4, np.uint8)
     quads[: len(r)] = extra
@@ -53,8 +55,9 @@ def pack(ids: np.ndarray, counts: np.ndarray, doc_ids: list[int | None]) -> byte
     ends = np.cumsum(extra.astype(np.int64) + 1)
     at = ends - extra - 1
     data = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    for k in range(4):
-        some = extra >= k
+    data[at] = r & 0xFF
+    for k in range(1, 4):
+        some = np.flatnonzero(extra >= k)
         data[at[some] + k] = (r[some] >> np.uint32(8 * k)) & 0xFF
     head = np.array([len(doc_ids), len(ids), len(seen), len(data)], "<u8")
     null = np.array([x is None for x in doc_ids], np.uint8)
@@ -90,10 +93,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, dro
     """Encodes docs (doc_id, text) into files below folder; returns (place, path, n_docs, n_tokens), place in doc_id order.
 
     tokenizer is a file of the tokenizers library; each text gets `end` after it. Texts are dealt
-    by ranges of doc_id, so a task holds one file's ids at a time.
+    by ranges of doc_id and a hash of the text, so a task holds one file's ids at a time and rows
+    of one doc_id need not meet in a task.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    rows = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
 
     def write(batches):
         part, number = TaskContext.get().partitionId(), 0
@@ -122,10 +127,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, dro
 def read_tokens(written: DataFrame, digest: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, and ids (array) or with digest their ids_crc32.
 
-    Only a row a file passes through the one-partition window that adds up starts.
+    Only a row a file passes through the one-partition window that adds up starts; files are read by
+    as many tasks.
     """
     before = F.sum("n_tokens").over(W.orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n_tokens")
-    files = written.select("path", before.alias("start")).repartition("path")
+    files = written.select("path", before.alias("start")).repartition(max(1, written.count()), "path")
 
     def read(batches):
         for batch in batches:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -93,10 +94,12 @@ class Encoder:
 
     path: str
     drop_space: bool
-    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    slot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
+    known: int = 0
+    at: np.ndarray = field(default_factory=lambda: np.zeros(1 << 10, np.int64))
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(1 << 12, np.uint32))
+    #: (sorted hashes, their slots): many settled ones, and the few that came last.
+    settled: tuple = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    recent: tuple = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     def __post_init__(self):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -109,24 +112,29 @@ class Encoder:
 
     def _look(self, keys: np.ndarray) -> np.ndarray:
         """Slots of known hashes, else -1."""
-        if not len(self.hashes):
-            return np.full(len(keys), -1)
-        where = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
-        return np.where(self.hashes[where] == keys, self.slot[where], -1)
-
-    def _add(self, keys: np.ndarray, texts: list[str]) -> None:
-        if len(self.hashes) + len(keys) > CACHE_PIECES and len(self.hashes):
-            self.hashes, self.slot, self.at, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        out, open_ = np.full(len(keys), -1), np.arange(len(keys))
+        for hashes, slots in (self.settled, self.recent):
+            if len(hashes) and len(open_):
+                where = np.minimum(np.searchsorted(hashes, keys[open_]), len(hashes) - 1)
+                hit = hashes[where] == keys[open_]
+                out[open_[hit]] = slots[where[hit]]
+                open_ = open_[~hit]
+        return out
+
+    def _add(self, keys: np.ndarray, texts: list[str]) -> np.ndarray:
+        """The slots of new pieces, whose ids are kept from now on."""
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(lengths.sum()))
-        slots = np.arange(len(self.at) - 1, len(self.at) - 1 + len(keys))
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
-        self.ids = np.concatenate([self.ids, flat])
-        order = np.argsort(keys)
-        into = np.searchsorted(self.hashes, keys[order])
-        self.hashes = np.insert(self.hashes, into, keys[order])
-        self.slot = np.insert(self.slot, into, slots[order])
+        begin, slots = int(self.at[self.known]), np.arange(self.known, self.known + len(keys))
+        self.known += len(keys)
+        size = begin + int(lengths.sum())
+        self.at, self.ids = _room(self.at, self.known + 1), _room(self.ids, size)
+        self.at[slots + 1] = begin + np.cumsum(lengths)
+        self.ids[begin:size] = np.fromiter(chain.from_iterable(got), np.uint32, size - begin)
+        self.recent = _merged(self.recent, (keys, slots))
+        if len(self.recent[0]) > max(1 << 14, len(self.settled[0]) // 8):
+            self.settled, self.recent = _merged(self.settled, self.recent), (keys[:0], slots[:0])
+        return slots
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids before each text and in all)."""
@@ -138,13 +146,14 @@ class Encoder:
         slots = self._look(keys)
         new = np.flatnonzero(slots < 0)
         if len(new):
+            if self.known and self.known + len(new) > CACHE_PIECES:
+                # start afresh with all pieces of this run
+                self.known, self.settled, self.recent, new = 0, (keys[:0], slots[:0]), (keys[:0], slots[:0]), np.arange(len(keys))
             some = np.zeros(len(keys), np.int64)
             some[code[::-1]] = np.arange(len(code))[::-1]
             raw = data.tobytes()
             texts = [raw[a:b].decode("utf-8") for a, b in zip(starts[some[new]].tolist(), stops[some[new]].tolist(), strict=True)]
-            before = len(self.hashes)
-            self._add(keys[new], texts)
-            slots = self._look(keys) if len(self.hashes) >= before + len(new) else self._afresh(keys, data, starts, stops, some)
+            slots[new] = self._add(keys[new], texts)
         each = slots[code]
         lengths = self.at[each + 1] - self.at[each]
         ends = np.cumsum(lengths)
@@ -152,13 +161,20 @@ class Encoder:
         index = np.repeat(self.at[each] - (ends - lengths), lengths) + np.arange(int(ends[-1]))
         return self.ids[index], np.concatenate([[0], ends])[first]
 
-    def _afresh(self, keys, data, starts, stops, some) -> np.ndarray:
-        """After the cache was dropped: all pieces of this run are put into the new one."""
-        slots = self._look(keys)
-        new = np.flatnonzero(slots < 0)
-        raw = data.tobytes()
-        self._add(keys[new], [raw[a:b].decode("utf-8") for a, b in zip(starts[some[new]].tolist(), stops[some[new]].tolist(), strict=True)])
-        return self._look(keys)
+
+def _room(buffer: np.ndarray, size: int) -> np.ndarray:
+    """The buffer, or one of at least twice its length that begins with it, so growing costs little in all."""
+    if size <= len(buffer):
+        return buffer
+    out = np.zeros(max(size, 2 * len(buffer)), buffer.dtype)
+    out[: len(buffer)] = buffer
+    return out
+
+
+def _merged(one: tuple, other: tuple) -> tuple:
+    keys, slots = np.concatenate([one[0], other[0]]), np.concatenate([one[1], other[1]])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], slots[order]
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
