@@ -11,9 +11,10 @@ up the distinct words and pairs of LOOKUP_BYTES of text at once and read segment
 of at most SLICE_BYTES at a time, so no filter is held whole or broadcast.
 Words and pairs seen once are entries of level 1 like others.
 
-The probability of a token is PAIR_WEIGHT of its share among what followed the word before, as the
-filter knows both counts, and the rest the add-one unigram estimate from the filter. The exact
-unigram base score uses exact counts, which workers read from the shared folder a slice of at most
+The probability of a token is PAIR_WEIGHT of its share among what followed the word before, and the
+rest the add-one unigram estimate, both from the filter: the least count of the level of the pair or
+word, over the greatest count of the level of the word before or over all tokens. So, false positives
+aside, the probabilities of all words after a word sum to at most 1. The exact unigram base score uses exact counts, which workers read from the shared folder a slice of at most
 SLICE words at a time, so no table of all words is held or broadcast. Edge cases:
 
 * null or empty text: one token, the end; no training rows: every probability is 1, scores 0;
@@ -36,13 +37,13 @@ from . import textnum
 from .common import cut, scratch_path, small_batches
 from .files import read_all, write_once
 
-BASE = 2.0
-LEVELS = 40
+BASE = math.sqrt(2)
+LEVELS = 96
 PROBES = 4
 BITS_PER_ENTRY = 12
 PAIR_WEIGHT = 0.5
-SLICE = 6_000_000
-SLICE_BYTES = 32 << 20
+SLICE = 1_500_000
+SLICE_BYTES = 16 << 20
 
 #: Bytes of text whose words and pairs a scoring task looks up together.
 LOOKUP_BYTES = 16 << 20
@@ -115,6 +116,11 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.minimum(LEVELS, 1 + np.floor(np.log(counts) / math.log(BASE) + 1e-9)).astype(np.int64)
 
 
+#: The least and the greatest whole count of each level (0 for level 0).
+LEAST = np.concatenate([[0.0], np.ceil(BASE ** np.arange(LEVELS) - 1e-6)])
+GREATEST = np.concatenate([[0.0], np.maximum(LEAST[1:], np.ceil(BASE ** np.arange(1.0, LEVELS + 1) - 1e-6) - 1)])
+
+
 def _summed(folder: str):
     """Sums the blocks of each range, in order; writes exact word counts to a file, passes on what the filter stores."""
 
@@ -187,28 +193,28 @@ class Scorer:
         bits = self.segment_bits << (64 - self.shift)
         return (1 - math.exp(-PROBES * self.entries / max(bits, 1))) ** PROBES
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts as the filter knows them: the middle of the highest level found in unbroken order, else 0."""
-        level = np.zeros(len(keys), np.int64)
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The highest level that the filter holds in unbroken order for each key, 0 for none."""
+        level = np.zeros(len(keys), np.uint8)
         place = (keys >> np.uint64(self.shift)).astype(np.int64)
         for start, paths in self.segments or [(0, None)]:
             some = np.arange(len(keys)) if paths is None else np.flatnonzero((place >= start) & (place < start + len(paths)))
             if len(some):
                 bits = self.filter if paths is None else _bits(paths, self.segment_bits // 8, len(self.segments) == 1)
                 level[some] = _found(bits, keys[some], (place[some] - start) * self.segment_bits, self.segment_bits)
-        return np.where(level > 0, (BASE ** (level - 1) + np.maximum(BASE**level - 1, BASE ** (level - 1))) / 2, 0.0)
+        return level
 
 
 def _found(bits: np.ndarray, keys: np.ndarray, base: np.ndarray, segment_bits: int) -> np.ndarray:
     """The highest level of each key found in unbroken order; base is where its segment begins."""
-    level = np.zeros(len(keys), np.int64)
+    level = np.zeros(len(keys), np.uint8)
     for a in range(0, len(keys), LOOKUP_KEYS):
         level[a : a + LOOKUP_KEYS] = _found_in(bits, keys[a : a + LOOKUP_KEYS], base[a : a + LOOKUP_KEYS], segment_bits)
     return level
 
 
 def _found_in(bits: np.ndarray, keys: np.ndarray, base: np.ndarray, segment_bits: int) -> np.ndarray:
-    level = np.zeros(len(keys), np.int64)
+    level = np.zeros(len(keys), np.uint8)
     left = np.arange(len(keys))
     for j in range(1, LEVELS + 1):
         alive = np.arange(len(left))
@@ -264,7 +270,8 @@ def train(docs: DataFrame) -> Scorer:
     """Counts the texts of docs and builds the filter."""
     spark = docs.sparkSession
     small_batches(spark)
-    ranges = 1 << max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    # the scan's partitions grow with the data, and so do the ranges
+    ranges = 1 << max(6, (docs.rdd.getNumPartitions() - 1).bit_length())
     shift = 64 - (ranges.bit_length() - 1)
     folder = scratch_path(spark, "words")
     text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -341,7 +348,7 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
                 at = np.minimum(np.searchsorted(keys, words[lo : hi + 1]), len(keys) - 1)
                 hit = np.flatnonzero(keys[at] == words[lo : hi + 1])
                 exact[lo + hit] = counts[at[hit]]
-        guess, joint = m.counts(words), m.counts(pairs)
+        guess, joint = m.levels(words), m.levels(pairs)
         for batch, some in held:
             parts = []
             for wplace, wsome, pplace, psome, first in some:
@@ -350,9 +357,9 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
                 # the word before is a token of this run, or an end, which every text has
                 prior = np.roll(code, 1)
                 prior[first[:-1]] = code[first[1] - 1]
-                context = guess[prior]
-                share = np.where(context > 0, np.minimum(1.0, both / np.maximum(context, 1.0)), 0.0)
-                unigram = np.minimum(1.0, (guess[code] + 1) / floor)
+                context = GREATEST[guess[prior]]
+                share = np.where(context > 0, np.minimum(1.0, LEAST[both] / np.maximum(context, 1.0)), 0.0)
+                unigram = np.minimum(1.0, (LEAST[guess[code]] + 1) / floor)
                 p = PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * unigram if m.tokens else np.ones(len(code))
                 base = np.log10((exact[code] + 1) / floor)
                 heads = first[:-1]
