@@ -4,14 +4,16 @@ Every source gets a target, whole numbers of blocks are apportioned to sources a
 shards of each source by highest quotients, and a seeded permutation of a shard's blocks picks
 which of them are taken. A shard is a seeded share of a source's documents, laid end to end in a
 seeded order and cut into blocks of equal length (to a word); a document takes the words that its
-span shares with the taken blocks. Since shards hold about SHARD_WORDS words whatever the source
-holds, no step gathers a source. Rows, columns and edge cases:
+span shares with the taken blocks. Shards hold about SHARD_WORDS words whatever the source holds and
+get their seats in two levels, SHARD_GROUP at a time, so no step gathers a source; only a row a source
+and a row a group of shards meet in a window. Rows, columns and edge cases:
 
 * null or wordless text has size 0 and takes 0; a source without words has target 0;
 * null is a source of its own, last in order; a null doc_id is a row like others;
 * rows that are equal in all that is read are interchangeable and each takes its own share;
-* an empty table gives an empty result; other columns are passed through, whatever their names
-  (names that begin with two underscores are kept for this module).
+* very long texts are taken whole or by blocks like others; an empty table gives an empty result;
+  other columns are passed through, whatever their names (names that begin with two underscores are
+  kept for this module).
 """
 
 from __future__ import annotations
@@ -33,13 +35,16 @@ SEED = "mix-1"
 #: A prime above any shard's number of blocks: multiplying by it permutes the blocks.
 PRIME = 2147483647
 
+#: Shards whose seats are apportioned together.
+SHARD_GROUP = 4096
+
 
 def words_in(text: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """One row a source: source, source_size, __place (by code point, null last), target.
+    """One row a source: source, __source_size, __place (by code point, null last), __target.
 
     Targets share the total by weight up to max_repeat times a source's size. In the order of that
     cap per weight, capped sources come first, and the level of the rest follows from running sums:
@@ -50,20 +55,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     weight = F.lit(weights[-1])
     for k, w in enumerate(weights[:-1]):
         weight = F.when(at == k, F.lit(w)).otherwise(weight)
-    rows = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rows = sizes.groupBy("source").agg(F.sum("__size").alias("__source_size"))
     rows = rows.withColumn("__place", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
-    rows = rows.withColumn("__w", weight.cast("long")).withColumn("__cap", F.lit(max_repeat) * F.col("source_size"))
-    order = W.orderBy((F.col("source_size") * F.expr(f"{unit} div __w")).asc(), "__place")
+    rows = rows.withColumn("__w", weight.cast("long")).withColumn("__cap", F.lit(max_repeat) * F.col("__source_size"))
+    order = W.orderBy((F.col("__source_size") * F.expr(f"{unit} div __w")).asc(), "__place")
     everything = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    rows = rows.withColumn("__left", F.sum("source_size").over(everything) - F.sum("__cap").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("__cap"))
+    rows = rows.withColumn("__left", F.sum("__source_size").over(everything) - F.sum("__cap").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("__cap"))
     rows = rows.withColumn("__open", F.sum("__w").over(order.rowsBetween(W.currentRow, W.unboundedFollowing)))
     rows = rows.withColumn("__full", F.col("__cap") * F.col("__open") <= F.col("__left") * F.col("__w"))
-    first = F.min(F.when(~F.col("__full"), F.struct((F.col("source_size") * F.expr(f"{unit} div __w")).alias("r"), "__place", "__left", "__open"))).over(everything)
+    first = F.min(F.when(~F.col("__full"), F.struct((F.col("__source_size") * F.expr(f"{unit} div __w")).alias("r"), "__place", "__left", "__open"))).over(everything)
     rows = rows.withColumn("__level", first)
-    above = F.struct((F.col("source_size") * F.expr(f"{unit} div __w")).alias("r"), F.col("__place").alias("p")) < F.struct(F.col("__level.r").alias("r"), F.col("__level.__place").alias("p"))
+    above = F.struct((F.col("__source_size") * F.expr(f"{unit} div __w")).alias("r"), F.col("__place").alias("p")) < F.struct(F.col("__level.r").alias("r"), F.col("__level.__place").alias("p"))
     capped = F.col("__level").isNull() | above
     target = F.when(capped, F.col("__cap").cast("double")).otherwise((F.col("__level.__left") * F.col("__w")).cast("double") / F.col("__level.__open"))
-    return rows.select("source", "source_size", "__place", target.alias("target"))
+    return rows.select("source", "__source_size", "__place", target.alias("__target"))
 
 
 def apportion(units: DataFrame, group: list[str], weight: str, seats: str, tie: str) -> DataFrame:
@@ -89,32 +94,35 @@ def apportion(units: DataFrame, group: list[str], weight: str, seats: str, tie:
 
 
 def spread(docs: DataFrame, sizes: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """docs (doc_id, source, size and any others) with source_size, target, __start, __full, __blocks, __q, __shift.
+    """docs (source, __size, __key and any others) with __source_size, __target, __start, __full, __blocks, __q, __shift.
 
-    sizes: doc_id, source and size of the same rows, read twice. __start is the document's place
+    sizes: source, __size and __key of the same rows, read twice. __start is the document's place
     in its shard of __full words in __blocks blocks, of which __q are taken.
     """
     sources = source_targets(sizes, weights, max_repeat)
-    total = F.sum("target").over(W.partitionBy())
-    sources = cut(apportion(sources.withColumn("__seats", F.round(total / block_words).cast("long")), [], "target", "__seats", "__place").withColumn("__shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")).withColumnRenamed("__q", "__seats_of"))
+    total = F.sum("__target").over(W.partitionBy())
+    sources = cut(apportion(sources.withColumn("__seats", F.round(total / block_words).cast("long")), [], "__target", "__seats", "__place").withColumn("__shards", F.greatest(F.lit(1), F.ceil(F.col("__source_size") / shard_words)).cast("long")).withColumnRenamed("__q", "__seats_of"))
     known = sources.count()
-    mixed = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     number = lambda x: F.conv(F.substring(x, 1, 8), 16, 10).cast("long")
 
     def dealt(rows: DataFrame) -> DataFrame:
-        rows = lookup_join(rows, sources.select("source", "source_size", "target", "__place", "__shards", "__seats_of"), ["source"], "inner", known)
-        rows = rows.withColumn("__key", mixed)
+        rows = lookup_join(rows, sources.select("source", "__source_size", "__target", "__place", "__shards", "__seats_of"), ["source"], "inner", known)
         return rows.withColumn("__shard", number(F.col("__key")) % F.col("__shards"))
 
-    shards = dealt(sizes).groupBy("__place", "__shard", "__seats_of").agg(F.sum("size").alias("__full"))
-    shards = apportion(shards, ["__place"], "__full", "__seats_of", "__shard")
+    shards = dealt(sizes).groupBy("__place", "__shard", "__seats_of").agg(F.sum("__size").alias("__full"))
+    # in two levels, so that no window holds all shards of a source
+    shards = cut(shards.withColumn("__group", F.expr(f"__shard div {SHARD_GROUP}")))
+    groups = shards.groupBy("__place", "__group", "__seats_of").agg(F.sum("__full").alias("__all"))
+    groups = apportion(groups, ["__place"], "__all", "__seats_of", "__group")
+    shards = shards.drop("__seats_of").join(groups.select("__place", "__group", F.col("__q").alias("__seats_of")), ["__place", "__group"])
+    shards = apportion(shards, ["__place", "__group"], "__full", "__seats_of", "__shard")
     shards = shards.withColumn("__blocks", F.greatest(F.lit(1), F.round(F.col("__full") / block_words)).cast("long"))
     shards = shards.withColumn("__q", F.least("__q", max_repeat * F.col("__blocks")))
     shards = shards.withColumn("__shift", number(F.md5(F.concat_ws("|", F.lit(seed), "__place", "__shard"))) % F.col("__blocks"))
     shards = shards.select(F.col("__place").alias("__p"), F.col("__shard").alias("__s"), "__full", "__blocks", "__q", "__shift")
     rows = dealt(docs)
-    along = W.partitionBy("__place", "__shard").orderBy("__key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("__start", F.sum("size").over(along) - F.col("size"))
+    along = W.partitionBy("__place", "__shard").orderBy("__key", "__size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("__start", F.sum("__size").over(along) - F.col("__size"))
     rows = rows.join(shards, (rows["__place"] == shards["__p"]) & (rows["__shard"] == shards["__s"]), "inner")
     return rows.drop("__p", "__s", "__key", "__shard", "__shards", "__seats_of", "__place")
 
@@ -127,8 +135,8 @@ def _from(j: Column) -> Column:
 def _blocks() -> Column:
     """The numbers of the blocks that the document's span meets; null if it has no words."""
     first = F.expr("((__start + 1) * __blocks - 1) div __full")
-    last = F.expr("((__start + size) * __blocks - 1) div __full")
-    return F.when(F.col("size") > 0, F.sequence(first, last))
+    last = F.expr("((__start + __size) * __blocks - 1) div __full")
+    return F.when(F.col("__size") > 0, F.sequence(first, last))
 
 
 def _is_extra(j: Column) -> Column:
@@ -138,35 +146,40 @@ def _is_extra(j: Column) -> Column:
 
 def taken() -> Column:
     """The words that the document gives, repeats counted."""
-    width = lambda j: F.least(F.col("__start") + F.col("size"), _from(j + 1)) - F.greatest(F.col("__start"), _from(j))
+    width = lambda j: F.least(F.col("__start") + F.col("__size"), _from(j + 1)) - F.greatest(F.col("__start"), _from(j))
     extra = F.aggregate(_blocks(), F.lit(0).cast("long"), lambda a, j: a + F.when(_is_extra(j), width(j)).otherwise(F.lit(0).cast("long")))
-    return (F.col("size") * F.expr("__q div __blocks") + F.coalesce(extra, F.lit(0))).cast("long")
+    return (F.col("__size") * F.expr("__q div __blocks") + F.coalesce(extra, F.lit(0))).cast("long")
+
+
+def _key(seed: str) -> Column:
+    """What deals rows to shards and orders them there: a digest of doc_id and text, so many rows of one doc_id spread."""
+    part = lambda c: F.coalesce(c, F.lit("null"))
+    return F.md5(F.concat_ws("|", F.lit(seed), part(F.col("doc_id").cast("string")), part(F.md5(F.col("text").cast("string").cast("binary")))))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document."""
-    sizes = cut(docs.select("doc_id", "source", words_in("text").alias("size")))
-    return spread(sizes, sizes, **options).select("doc_id", "size", "source_size", "target", taken().alias("taken"), "source")
+def mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken and source of every document."""
+    sizes = cut(docs.select("doc_id", "source", words_in("text").alias("__size"), _key(seed).alias("__key")))
+    rows = spread(sizes, sizes, seed=seed, **options)
+    return rows.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken().alias("taken"), "source")
 
 
-def mix_texts(docs: DataFrame, **options) -> DataFrame:
+def mix_texts(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each pass over a document that takes any of its words.
 
     Its text is the taken words with the white space after them, and n_chars, where there is such a
-    column, its length.
+    column, its length. All other columns stay as they are.
     """
-    sized = docs.withColumn("size", words_in("text")) if "size" not in docs.columns else docs.withColumnRenamed("size", "__own_size").withColumn("size", words_in("text"))
-    rows = spread(sized, cut(sized.select("doc_id", "source", "size")), **options)
+    sized = docs.withColumn("__size", words_in("text")).withColumn("__key", _key(seed))
+    rows = spread(sized, cut(sized.select("source", "__size", "__key")), seed=seed, **options)
     rows = rows.withColumn("__pieces", F.regexp_extract_all("text", F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1)))
     rows = rows.withColumn("__pass", F.explode(F.expr("sequence(0L, __q div __blocks)")))
     begin = lambda j: F.greatest(F.col("__start"), _from(j)) - F.col("__start")
-    end = lambda j: F.least(F.col("__start") + F.col("size"), _from(j + 1)) - F.col("__start")
+    end = lambda j: F.least(F.col("__start") + F.col("__size"), _from(j + 1)) - F.col("__start")
     some = F.array_join(F.transform(F.filter(_blocks(), _is_extra), lambda j: F.array_join(F.slice("__pieces", (begin(j) + 1).cast("int"), (end(j) - begin(j)).cast("int")), "")), "")
-    rows = rows.withColumn("text", F.when(F.col("__pass") < F.expr("__q div __blocks"), F.col("text")).otherwise(some)).where((F.col("size") > 0) & (F.col("text") != ""))
+    rows = rows.withColumn("text", F.when(F.col("__pass") < F.expr("__q div __blocks"), F.col("text")).otherwise(some)).where((F.col("__size") > 0) & (F.col("text") != ""))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    if "__own_size" in rows.columns:
-        rows = rows.drop("size").withColumnRenamed("__own_size", "size")
     return rows.select(*docs.columns)
 
 
@@ -176,7 +189,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = f"""
 WITH sizes AS (
-  SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, md5('{SEED}|' || COALESCE(CAST(doc_id AS VARCHAR), 'null') || '|' || COALESCE(md5(text), 'null')) AS key,
+    CAST(COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), a AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source
 ), b AS (
@@ -204,22 +218,29 @@ WITH sizes AS (
 ), j AS (
   SELECT g.*, COALESCE(i.q, 0) AS q, greatest(1, CAST(ceil(source_size / {SHARD_WORDS}) AS BIGINT)) AS shards FROM g LEFT JOIN i USING (place)
 ), k AS (
-  SELECT s.*, j.source_size, j.target, j.place, j.q, md5('{SEED}|' || COALESCE(CAST(doc_id AS VARCHAR), 'null')) AS key,
-    CAST('0x' || substr(md5('{SEED}|' || COALESCE(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) % shards AS shard
+  SELECT s.*, j.source_size, j.target, j.place, j.q, CAST('0x' || substr(key, 1, 8) AS BIGINT) % shards AS shard
   FROM sizes s JOIN j ON s.source IS NOT DISTINCT FROM j.source
 ), l AS (
-  SELECT place, shard, q, CAST(sum(size) AS BIGINT) AS whole, sum(sum(size)) OVER (PARTITION BY place) AS all_of FROM k GROUP BY place, shard, q
+  SELECT place, shard, shard // {SHARD_GROUP} AS grp, q AS q_all, CAST(sum(size) AS BIGINT) AS whole FROM k GROUP BY place, shard, q
+), l1 AS (
+  SELECT place, grp, q_all, sum(whole) AS whole, sum(sum(whole)) OVER (PARTITION BY place) AS all_of FROM l GROUP BY place, grp, q_all
+), l2 AS (
+  SELECT place, grp, q_all, whole / (2 * n + 1) AS quotient FROM l1, LATERAL (SELECT unnest(range(CAST(q_all * whole / greatest(all_of, 1) AS BIGINT) + 50)) AS n) WHERE whole > 0
+), l3 AS (
+  SELECT place, grp, count(*) AS q FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY quotient DESC, grp) AS n FROM l2) WHERE n <= q_all GROUP BY place, grp
+), l4 AS (
+  SELECT l.place, l.shard, l.grp, l.whole, COALESCE(l3.q, 0) AS q, sum(l.whole) OVER (PARTITION BY l.place, l.grp) AS all_of FROM l LEFT JOIN l3 USING (place, grp)
 ), m AS (
-  SELECT place, shard, q, whole / (2 * n + 1) AS quotient FROM l, LATERAL (SELECT unnest(range(CAST(q * whole / greatest(all_of, 1) AS BIGINT) + 50)) AS n) WHERE whole > 0
+  SELECT place, shard, grp, q, whole / (2 * n + 1) AS quotient FROM l4, LATERAL (SELECT unnest(range(CAST(q * whole / greatest(all_of, 1) AS BIGINT) + 50)) AS n) WHERE whole > 0
 ), o AS (
-  SELECT place, shard, count(*) AS q FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY quotient DESC, shard) AS n FROM m) WHERE n <= q GROUP BY place, shard
+  SELECT place, shard, count(*) AS q FROM (SELECT *, row_number() OVER (PARTITION BY place, grp ORDER BY quotient DESC, shard) AS n FROM m) WHERE n <= q GROUP BY place, shard
 ), p AS (
   SELECT l.place, l.shard, whole, greatest(1, CAST(round(whole / {BLOCK_WORDS}) AS BIGINT)) AS blocks, COALESCE(o.q, 0) AS q FROM l LEFT JOIN o USING (place, shard)
 ), r AS (
   SELECT place, shard, whole, blocks, least(q, 3 * blocks) AS q, CAST('0x' || substr(md5('{SEED}|' || place || '|' || shard), 1, 8) AS BIGINT) % blocks AS shift FROM p
 ), s AS (
   SELECT k.doc_id, k.source, k.size, k.source_size, k.target, whole, blocks, r.q, shift,
-    CAST(sum(size) OVER (PARTITION BY place, shard ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start
+    CAST(sum(size) OVER (PARTITION BY place, shard ORDER BY key, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start
   FROM k JOIN r USING (place, shard)
 ), t AS (
   SELECT *, unnest(CASE WHEN size > 0 THEN range(((start + 1) * blocks - 1) // whole, ((start + size) * blocks - 1) // whole + 1) ELSE [NULL] END) AS j FROM s
