@@ -9,8 +9,10 @@ one boundary mark, hashed to FEATURES places. Rows, columns and edge cases:
 * null text or text without a letter: lang_pred "und", score 0;
 * no labelled row to learn from: every row gets "und" and 0; one label: that label, score 1;
 * rows with a null doc_id count as not held out; repeated rows each get their own equal result;
-* very long texts are read whole; an empty table gives an empty result; columns lang_pred and
-  score of the input are replaced, all other columns pass through.
+* the sample takes the rows with the lowest hashes, ties in hash by content, so reruns agree; of equal
+  probabilities the language first by code point wins;
+* very long texts are read whole; an empty table gives an empty result; identify() replaces columns
+  lang_pred and score of the input, all other columns pass through.
 """
 
 from __future__ import annotations
@@ -29,12 +31,9 @@ from .common import lookup_join
 FEATURES = 1 << 15
 ORDERS = 3
 
-#: The training sample holds at most this many rows a language (chosen by a hash of doc_id) ...
+#: The training sample holds at most this many rows a language (chosen by a hash of doc_id and text).
 SAMPLE_ROWS = 400
 
-#: ... of at most this many languages, the most frequent ones.
-MAX_LANGUAGES = 1000
-
 UNKNOWN = "und"
 
 _LETTERS: list[np.ndarray] = []
@@ -184,17 +183,20 @@ def remainder(modulus: int) -> Column:
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learns from rows of (doc_id, text, lang) with text and lang; see SAMPLE_ROWS for the sample.
 
-    Languages are counted over all rows; then a hash of doc_id admits about twice as many rows as
-    the sample takes, and the lowest hashes of those make the sample.
+    Languages are counted over all distinct rows; then a hash of doc_id and text admits about twice as
+    many rows as the sample takes, repeated rows once, and the lowest hashes of those make the sample.
+    Every language there is can be predicted; the driver holds a weight for each language and feature.
     """
     labelled = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"), F.lit("langid"))
+    labelled = labelled.withColumn("key", key)
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("d")).orderBy("lang").collect()  # a row a language
     if not counts:
         return fit([])
     spark = labelled.sparkSession
-    admit = spark.createDataFrame([(r["lang"], min(1.0, (2 * sample_rows + 100) / r["n"])) for r in counts], "lang string, share double")
-    order = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")), F.lit("langid")), F.lit(1 << 30))
-    rows = lookup_join(labelled, admit, ["lang"], "inner", len(counts)).withColumn("order", order).where(F.col("order") < F.col("share") * (1 << 30))
+    admit = spark.createDataFrame([(r["lang"], min(1.0, (2 * sample_rows + 100) / max(1, r["d"]))) for r in counts], "lang string, share double")
+    rows = lookup_join(labelled, admit, ["lang"], "inner", len(counts)).where(F.pmod("key", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    rows = rows.withColumn("order", F.pmod("key", F.lit(1 << 30))).dropDuplicates(["lang", "key"])
 
     def extract(batches):
         for batch in batches:
@@ -210,9 +212,9 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     return fit([(table["lang"][k].as_py(), table["places"][k].values.to_numpy().astype(np.int64), table["counts"][k].values.to_numpy()) for k in taken])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score."""
-    docs = docs.drop("lang_pred", "score")
+def identify(docs: DataFrame, model: Model, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the predicted language and its score, in columns of these names."""
+    docs = docs.drop(label, score)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
@@ -222,17 +224,21 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             best = []
             for _, _, data, offsets in textnum.runs(batch.column(place)):
                 best += [m.predict(p, c) for p, c in features(data, offsets)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in best], pa.string()), pa.array([s for _, s in best], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in best], pa.string()), pa.array([s for _, s in best], pa.float64())], names=[*batch.schema.names, label, score])
 
     fields = docs.schema.jsonValue()
-    schema = type(docs.schema).fromJson(fields).add("lang_pred", "string").add("score", "double")
+    schema = type(docs.schema).fromJson(fields).add(label, "string").add(score, "double")
     return docs.mapInArrow(predict, schema)
 
 
 def reject_unknown(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs (doc_id, text, lang and others) whose language is told with a score of at least `least`."""
+    """The rows of docs (doc_id, text, lang and others) whose language is told with a score of at least `least`.
+
+    All columns stay as they are, lang_pred and score among them.
+    """
     model = train(docs.where(remainder(4) != 2))
-    return identify(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    rows = identify(docs, model, "__lang_pred", "__score")
+    return rows.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ columns and edge cases:
 
 * null text stays null with 0 lines; blank lines are never candidates and stay;
 * a null source is no site, but its lines are cleaned as well; null doc_ids are rows like others;
+* very long texts are cleaned whole; of equal lines in a document all go or all stay;
 * repeated rows each stay, cleaned alike; a document may end with empty text, but no row goes;
 * an empty table gives an empty result; other columns pass through (names that begin with two
   underscores are kept for this module).
@@ -51,10 +52,10 @@ def shared_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return cut(kept.where(F.coalesce(F.col("exact"), F.col("guess")) >= min_sites).select("h", "n"))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with shared lines cut from text, and n_lines and n_removed (long) at the end.
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = True) -> DataFrame:
+    """docs with shared lines cut from text, and with counts n_lines and n_removed (long) at the end.
 
-    Only places of removed lines are gathered, by document; the text is dealt once, to meet them.
+    The counts replace columns of their names; without them all columns of docs stay. Only places of removed lines are gathered, by document; the text is dealt once, to meet them.
     """
     lines = _lines(docs)
     shared = shared_lines(lines, min_sites)
@@ -72,7 +73,10 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
         rows = rows.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")).cast("long")
     n_removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.col("__n")).cast("long")
-    return rows.select(*docs.columns, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    if not counts:
+        return rows.select(*docs.columns)
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return rows.select(*kept, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

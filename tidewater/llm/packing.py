@@ -204,8 +204,9 @@ def pack(rows: DataFrame, size: int = SIZE) -> DataFrame:
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
-    return pack(cut(pieces(docs, public_tokenizers.path("word_bpe_49k.json"))))
+def pack_documents(docs: DataFrame, with_ids: bool = False) -> DataFrame:
+    """pack() of the pieces of docs (doc_id, text), on request with their ids."""
+    return pack(cut(pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=with_ids)))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
