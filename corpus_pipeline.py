@@ -1,4 +1,15 @@
-"""The corpus pipeline: stages over documents, each writing what the next one reads."""
+"""The corpus pipeline: stages over documents, each writing what the next one reads.
+
+Edge cases are those of the operators, stage by stage:
+
+* a document whose text is null, empty or without a letter goes in the first stage;
+* null or repeated doc_ids, sources and languages are rows like others; of repeated rows that are near
+  copies of each other, those with the smallest doc_id of the group stay;
+* a document whose lines all go keeps its row until the mix, which takes no words from it;
+* very long texts are handled whole; an empty table gives an empty result;
+* all but the last stage return the columns of documents, extra ones with their own values whatever
+  their names (names that begin with two underscores are kept for the operators).
+"""
 
 from __future__ import annotations
 
@@ -19,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts lines that many sources share from the texts; every document stays."""
-    return line_dedup.dedup_lines(docs).drop("n_lines", "n_removed")
+    return line_dedup.dedup_lines(docs, counts=False)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +44,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what the mix took into sequences of 4096 tokens."""
-    return packing.pack_documents(docs)
+    """Packs what the mix took into sequences of 4096 tokens: a row a piece, with its token ids.
+
+    Rows of one doc_id are passes of the mix over that document, told apart by their ids.
+    """
+    return packing.pack_documents(docs, with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -45,7 +59,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack),
 ]
 
-#: The stages learn models and sketch sets, which SQL cannot express; tests compare with brute force.
+#: The stages learn models and sketch sets, which SQL cannot express; tests/llm/test_pipeline.py
+#: compares each stage with plain Python on what its predecessor kept.
 ORACLE_SQL = None
 
 
