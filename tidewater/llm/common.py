@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def frugal(run):
+    """run, a function of Arrow batches, which gives what it has freed back to the system when it ends.
+
+    A Python worker serves task after task; what its allocators keep for later adds up to much more
+    than any task needs, beside an executor that has grown meanwhile.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", rows: int | None = None, salts: int = 64) -> DataFrame:
     """Joins left with a table that has one row a key (null keys match null keys).
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import lookup_join
+from .common import frugal, lookup_join
 
 FEATURES = 1 << 15
 ORDERS = 3
@@ -204,7 +204,7 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
                 got = list(features(data, offsets))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([p.astype(np.int32) for p, _ in got], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in got], pa.list_(pa.int32()))], names=["lang", "order", "places", "counts"])
 
-    table = rows.select("lang", "order", "text").mapInArrow(extract, "lang string, order long, places array<int>, counts array<int>").toArrow().combine_chunks()
+    table = rows.select("lang", "order", "text").mapInArrow(frugal(extract), "lang string, order long, places array<int>, counts array<int>").toArrow().combine_chunks()
     by: dict[str, list] = {}
     for k, (lang, order) in enumerate(zip(table["lang"].to_pylist(), table["order"].to_pylist(), strict=True)):
         by.setdefault(lang, []).append((order, k))
@@ -228,7 +228,7 @@ def identify(docs: DataFrame, model: Model, label: str = "lang_pred", score: str
 
     fields = docs.schema.jsonValue()
     schema = type(docs.schema).fromJson(fields).add(label, "string").add(score, "double")
-    return docs.mapInArrow(predict, schema)
+    return docs.mapInArrow(frugal(predict), schema)
 
 
 def reject_unknown(docs: DataFrame, least: float = 0.5) -> DataFrame:

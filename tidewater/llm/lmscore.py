@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import cut, scratch_path, small_batches
+from .common import cut, frugal, scratch_path, small_batches
 from .files import read_all, write_once
 
 BASE = math.sqrt(2)
@@ -109,7 +109,7 @@ def _count(shift: int):
             yield blocks(1, words)
             yield blocks(2, pairs)
 
-    return run
+    return frugal(run)
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -147,7 +147,7 @@ def _summed(folder: str):
         if place is not None:
             yield finish(place, words, pairs)
 
-    return run
+    return frugal(run)
 
 
 _SUMS = pa.schema([("range", pa.int32()), ("path", pa.string()), ("words", pa.int64()), ("tokens", pa.int64()), ("entries", pa.int64()), ("keys", pa.binary()), ("levels", pa.binary())])
@@ -290,7 +290,7 @@ def train(docs: DataFrame) -> Scorer:
                 path = write_once(folder, f"bits-{r}", got.tobytes())
                 yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "path": pa.array([path])})
 
-    built = {r["range"]: r["path"] for r in sums.select("range", "keys", "levels").mapInArrow(segments, "range int, path string").collect()}  # one row a range
+    built = {r["range"]: r["path"] for r in sums.select("range", "keys", "levels").mapInArrow(frugal(segments), "range int, path string").collect()}  # one row a range
     many = max(1, SLICE_BYTES // (segment_bits // 8))
     parts = [(a, [built.get(r) for r in range(a, min(ranges, a + many))]) for a in range(0, ranges, many)] if built else []
     whole = np.zeros(0 if built else ranges * (segment_bits // 8), np.uint8)
@@ -370,7 +370,7 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), m.tokens), pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(frugal(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op7_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import BROADCAST_ROWS, cut, release, skew_join
+from .common import BROADCAST_ROWS, cut, frugal, release, skew_join
 
 BINS = 1 << 20
 BANDS, ROWS = 36, 6
@@ -92,7 +92,7 @@ def _sketch(width: int):
                     bands.append(band_keys(signature(s)).view(np.int64) if len(s) else None)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), row.slice(a, b - a), hashes.slice(a, b - a), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
 
-    return run
+    return frugal(run)
 
 
 def _key(hashes: np.ndarray) -> bytes | None:
@@ -110,7 +110,7 @@ def _sets(width: int):
                 sets = textnum.shingle_sets(data, offsets, width)
                 yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], schema=schema)
 
-    return run
+    return frugal(run)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def _compared(percent: int, stars: bool):
             kinds = [f.type for f in _COMPARED][4:]
             yield pa.RecordBatch.from_arrays([a, b, members, score, *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))] if out else [pa.array([], f.type) for f in _COMPARED], schema=_COMPARED)
 
-    return run
+    return frugal(run)
 
 
 _COMPARED = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("members", pa.int64()), ("score", pa.int64()), ("link", pa.bool_()), ("n", pa.int64()), ("diff", pa.int64()), ("weight", pa.int64()), ("loose", pa.bool_()), ("prefix", pa.list_(pa.int64()))])

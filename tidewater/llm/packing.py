@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, small_batches
+from .common import cut, frugal, small_batches
 
 SIZE = 4096
 SALTS = 256
@@ -172,7 +172,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = 1, size: int = SIZE, drop
                         out.append((name, k, p - x, q - p, zlib.crc32(view[4 * p : 4 * q])) + ((ids[p:q].astype(np.int32),) if with_ids else ()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return rows.mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(frugal(cut_up), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def pack(rows: DataFrame, size: int = SIZE) -> DataFrame:
@@ -201,7 +201,7 @@ def pack(rows: DataFrame, size: int = SIZE) -> DataFrame:
 
     rows_columns = rows.columns
     schema = type(rows.schema).fromJson(rows.schema.jsonValue()).add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(frugal(place), schema)
 
 
 def pack_documents(docs: DataFrame, with_ids: bool = False) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, scratch_path
+from .common import cut, frugal, scratch_path
 from .files import read_all, write_once
 
 MAGIC = b"TWTOKEN1"
@@ -121,7 +121,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, dro
         if ids:
             yield finish()
 
-    return cut(rows.mapInArrow(write, "place long, path string, n_docs long, n_tokens long"))
+    return cut(rows.mapInArrow(frugal(write), "place long, path string, n_docs long, n_tokens long"))
 
 
 def read_tokens(written: DataFrame, digest: bool = False) -> DataFrame:
@@ -148,7 +148,7 @@ def read_tokens(written: DataFrame, digest: bool = False) -> DataFrame:
                 for a in range(0, len(whole), 4096):
                     yield whole.slice(a, 4096)
 
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<int>"))
+    return files.mapInArrow(frugal(read), "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<int>"))
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
