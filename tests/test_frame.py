@@ -111,8 +111,8 @@ def test_sliding_window_is_open_on_the_left(ticks):
 
 def test_ties_by_peers_and_by_position(spark):
     df = spark.createDataFrame([(0, 1, 1.0), (0, 2, 2.0), (0, 3, 4.0)], "s long, n long, x double").withColumn("ts", F.timestamp_seconds("s"))
-    peers = as_timeframe(Frame(df).ordered("ts", "n"), "ts").window("1s", update={"v": agg.sum("x")})
-    place = as_timeframe(Frame(df).ordered("ts", "n"), "ts", ties="position").window("1s", update={"v": agg.sum("x")})
+    peers = as_timeframe(Frame(df).ordered("ts", "n"), "ts", ties="peers").window("1s", update={"v": agg.sum("x")})
+    place = as_timeframe(Frame(df).ordered("ts", "n"), "ts").window("1s", update={"v": agg.sum("x")})
     assert values(peers, "n", "v") == [(1, 7.0), (2, 7.0), (3, 7.0)]
     assert values(place, "n", "v") == [(1, 1.0), (2, 3.0), (3, 7.0)]
 

@@ -38,7 +38,7 @@ class Frame:
     order_by: tuple[str, ...] = ()
     time_index: str | None = None
     grouped_by: tuple[str, ...] = ()
-    ties: str = "peers"
+    ties: str = "position"
     zone: str | None = None
 
     # ---- building blocks
@@ -56,7 +56,7 @@ class Frame:
 
     def _context(self, mode: str, by=(), window=None, aligned=False) -> Context:
         order = list(self.order_by) or ([self.time_index] if self.time_index else [])
-        return Context(mode, list(by), order, self.time_index, self._time_kind(), window, aligned, self.ties)
+        return Context(mode, list(by), order, self.time_index, self._time_kind(), window, aligned, self.ties, self.grouped_by)
 
     def _keys(self, by) -> tuple[DataFrame, list[str]]:
         """Plain key names; keys given as {name: expression} become columns first."""
@@ -97,9 +97,10 @@ class Frame:
             aggs = [e.build(c).alias(n) for n, e in items.items() if is_aggregate(e)]
             out = (df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)) if aggs else df.select(*keys).distinct()
             wanted = keys + [n for n, e in items.items() if is_aggregate(e)]
-            return self._as(out.select(*wanted), order_by=(), time_index=None, grouped_by=tuple(keys))
+            return self._as(out.select(*wanted), order_by=(), time_index=None, grouped_by=())
         c = self._context("row")
-        return self._as(self.df.select(*(resolve(e, c).alias(n) for n, e in items.items())))
+        made = self._made(self.df, {n: e for n, e in items.items() if isinstance(e, Deferred)}, c)
+        return self._as(self.df.select(*(resolve(e, c).alias(n) for n, e in items.items())) if made is self.df else made.select(*(F.col(f"__f_{n}").alias(n) if isinstance(e, Deferred) else resolve(e, c).alias(n) for n, e in items.items())))
 
     def distinct(self, *names: str) -> Frame:
         return self._as((self.df.select(*names) if names else self.df).distinct(), order_by=())
@@ -109,14 +110,46 @@ class Frame:
         if where is not None and by is not None:
             raise ValueError("a where guard takes no by")
         df, keys = self._keys(by)
+        names = df.columns
         c = self._context("row", keys)
-        made = {n: resolve(e, c) for n, e in fields.items()}
+        df = self._made(df, fields, c)
+        made = {n: F.col(f"__f_{n}") if f"__f_{n}" in df.columns else resolve(e, c) for n, e in fields.items()}
         if where is not None:
-            made = {n: F.when(where, e).otherwise(F.col(n) if n in df.columns else F.lit(None)) for n, e in made.items()}
-        df = df.withColumns(made)
+            made = {n: F.when(where, e).otherwise(F.col(n) if n in names else F.lit(None)) for n, e in made.items()}
+        df = df.withColumns(made).drop(*(f"__f_{n}" for n in fields))
         if isinstance(by, dict):
             df = df.drop(*(k for k in keys if k not in self.df.columns))
-        return self._as(df, grouped_by=tuple(keys))
+        return self._as(df)
+
+    def _made(self, df: DataFrame, fields: dict, c: Context) -> DataFrame:
+        """df with the fields as columns __f_<name> if any of them slides over time, else df as it is.
+
+        Sliding windows are at most D wide, so a row needs the rows of its bucket of D and of the
+        one before: each row goes to its own bucket and the next, and no window gathers a whole key.
+        Rows of equal time are told apart by position, unless they are peers.
+        """
+        widths = {}
+        for n, e in fields.items():
+            seen: list = []
+            resolve(e, replace(c, seen=seen))
+            widths[n] = [x for x in seen if x != "order"] if "order" not in seen else []
+        wide = max((x for w in widths.values() for x in w), default=0)
+        if not wide:
+            return df
+        df = df.withColumns({f"__f_{n}": resolve(fields[n], c) for n, w in widths.items() if not w})
+        df = df.withColumn("__tick", c.ticks().cast("long"))
+        steps, below, place = 1, 0, F.lit(0)
+        if c.ties == "position":
+            most = 1 << min(31, max(1, (2**62 // (4 * wide)).bit_length() - 1))
+            steps, below = 2 * most, most - 1
+            df = df.withColumn("__pos", F.row_number().over(W.partitionBy(*c.by, "__tick").orderBy(*(c.order or [c.time]))) - 1)
+            place = F.when(F.col("__pos") < most, F.col("__pos")).otherwise(F.raise_error(F.lit("too many rows of one time")).cast("int"))
+        own = F.call_function("div", F.col("__tick") - F.pmod(F.col("__tick"), F.lit(wide)), F.lit(wide))
+        df = df.withColumn("__own", own).withColumn("__bucket", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
+        df = df.withColumn("__at", (F.col("__tick") - (F.col("__bucket") - 1) * wide) * steps + place)
+        grid = replace(c, grid=("__bucket", "__at", steps, below))
+        df = df.withColumns({f"__f_{n}": resolve(fields[n], grid) for n, w in widths.items() if w})
+        return df.where(F.col("__bucket") == F.col("__own")).drop("__tick", "__pos", "__own", "__bucket", "__at")
 
     def update_tuple(self, names: list[str], f: Callable[[DataFrame], Column]) -> Frame:
         """Assigns the fields of one struct column, by place, to names."""
@@ -169,10 +202,11 @@ class Frame:
         if self.time_index is None:
             raise ValueError("window needs a time frame")
         fields = select if select is not None else update or {}
-        made = {n: resolve(e, c) for n, e in fields.items()}
+        df = self._made(df, fields, c)
+        made = {n: F.col(f"__f_{n}") if f"__f_{n}" in df.columns else resolve(e, c) for n, e in fields.items()}
         if select is not None:
             return self._as(df.select(self.time_index, *(k for k in keys if k != self.time_index), *(e.alias(n) for n, e in made.items())), grouped_by=tuple(keys))
-        return self._as(df.withColumns(made), grouped_by=tuple(keys))
+        return self._as(df.withColumns(made).drop(*(f"__f_{n}" for n in fields)), grouped_by=tuple(keys))
 
     def resample(self, d: str, by=None, **fields) -> Frame:
         """A row for each bucket [floor(t / d) d, + d) that has rows, and group; local days and hours if the frame has a zone."""
@@ -191,7 +225,8 @@ class Frame:
             bucket = F.timestamp_micros((micros - F.pmod(micros, F.lit(width))).cast("long"))
             bucket = F.to_utc_timestamp(bucket, self.zone) if self.zone else bucket
             bucket = bucket.cast(self.df.schema[t].dataType)
-        df = self.df.withColumn("__bucket", bucket)
+        missing = F.raise_error(F.lit(f"the time index {t} has a null")).cast(self.df.schema[t].dataType)
+        df = self.df.withColumn("__bucket", F.coalesce(bucket, missing))
         c = replace(self._context("aggregate"), by=keys)
         out = df.groupBy("__bucket", *keys).agg(*(e.build(c).alias(n) for n, e in fields.items()))
         return replace(self._as(out.withColumnRenamed("__bucket", t)), time_index=t, order_by=(), grouped_by=tuple(keys))
@@ -234,6 +269,13 @@ class Frame:
                 raise TypeError(f"the table has no column {f.name} of type {f.dataType.simpleString()}")
         return self
 
+    def text(self, rows: int = 20) -> str:
+        """The first rows as a text table."""
+        return self.df._show_string(rows, truncate=False)
+
+    def show(self, rows: int = 20) -> None:
+        print(self.text(rows))
+
     def columns(self) -> Frame:
         return Frame(reshape.columns_of(self.df))
 
@@ -292,11 +334,12 @@ class Frame:
         return f
 
 
-def as_timeframe(frame: Frame | DataFrame, column: str, zone: str | None = None, ties: str = "peers", check: bool = False) -> Frame:
+def as_timeframe(frame: Frame | DataFrame, column: str, zone: str | None = None, ties: str = "position", check: bool = False) -> Frame:
     """A frame with a time index: a timestamp, a date, or a long column of nanoseconds.
 
-    ties: whether rows of equal time see each other in time windows ("peers"), or only earlier rows
-    in order ("position", which needs order columns). check runs a job that refuses null times.
+    ties: whether rows of equal time see only earlier ones in the frame's order in time windows
+    ("position"), or each other ("peers"). Null times are an error as soon as a window or resample
+    meets them; check runs a job that refuses them here.
     """
     frame = frame if isinstance(frame, Frame) else Frame(frame)
     kind = frame.df.schema[column].dataType

@@ -25,13 +25,24 @@ class Context:
     time_kind: str = "timestamp"
     window: str | int | None = None
     aligned: bool = False
-    ties: str = "peers"
+    ties: str = "position"
+    #: Keys that an earlier clause grouped the rows by; rows beside each other may be of two groups then.
+    grouped: tuple[str, ...] = ()
+    #: If not None, gets the width of each sliding window that is built, and "order" for other uses of row order.
+    seen: list | None = None
+    #: Of a clause that spreads sliding windows over buckets: bucket and order column, order steps a tick, steps below a tick.
+    grid: tuple[str, str, int, int] | None = None
+
+    def guard(self) -> None:
+        """Refuses functions of neighbouring rows over rows of several groups."""
+        if self.grouped and not self.by:
+            raise ValueError(f"the rows are grouped by {list(self.grouped)}: state by=, or the row order anew with ordered()")
 
     def ticks(self) -> Column:
         """The time index as a whole number: microseconds, or days of a date, or a long column as it is."""
         if self.time is None:
             raise ValueError("a time window needs a time frame: call as_timeframe first")
-        t = F.col(self.time)
+        t = F.coalesce(F.col(self.time), F.raise_error(F.lit(f"the time index {self.time} has a null")))
         return {"date": F.unix_date(t) if self.time_kind == "date" else t, "long": t}.get(self.time_kind, F.unix_micros(t.cast("timestamp")) if self.time_kind == "timestamp" else t)
 
     def width(self, d: str) -> int:
@@ -41,6 +52,9 @@ class Context:
     def ordered(self) -> WindowSpec:
         if not self.order:
             raise ValueError("this function reads row order: state it with order=[...] on the frame")
+        self.guard()
+        if self.seen is not None:
+            self.seen.append("order")
         return W.partitionBy(*self.by).orderBy(*self.order)
 
 

@@ -102,6 +102,17 @@ def to_float(x) -> Column:
     return col(x).cast("double")
 
 
+def to_int32(x) -> Column:
+    """A 32-bit whole number; a fraction or a number out of range is an error."""
+    y = to_int(x)
+    out = (y < -(2**31)) | (y >= 2**31)
+    return F.when(out, F.raise_error(F.lit("the number does not fit 32 bits")).cast("int")).otherwise(y.cast("int"))
+
+
+def to_float32(x) -> Column:
+    return col(x).cast("float")
+
+
 def to_date(x) -> Column:
     """The UTC day of a timestamp."""
     return col(x).cast("date")
@@ -187,25 +198,39 @@ def with_timezone(ts, zone: str) -> Column:
 # random columns: distribution, not sequence, is what is promised
 
 
+_SEEDS: list = []
+
+
+def seed_rng(seed: int | None) -> None:
+    """From now on random columns without a seed of their own take seeds that follow from this one; None ends that."""
+    import itertools
+
+    _SEEDS[:] = [] if seed is None else [itertools.count(seed * 1000003)]
+
+
+def _seed(seed: int | None) -> int | None:
+    return next(_SEEDS[0]) if seed is None and _SEEDS else seed
+
+
 def rand_uniform(low=0.0, high=1.0, seed: int | None = None) -> Column:
-    return F.lit(low) + F.rand(seed) * (F.lit(high) - F.lit(low))
+    return F.lit(low) + F.rand(_seed(seed)) * (F.lit(high) - F.lit(low))
 
 
 def rand_normal(mean=0.0, sd=1.0, seed: int | None = None) -> Column:
-    return F.lit(mean) + F.randn(seed) * F.lit(sd)
+    return F.lit(mean) + F.randn(_seed(seed)) * F.lit(sd)
 
 
 def rand_exponential(rate=1.0, seed: int | None = None) -> Column:
-    return -F.ln(1 - F.rand(seed)) / F.lit(rate)
+    return -F.ln(1 - F.rand(_seed(seed))) / F.lit(rate)
 
 
 def rand_bernoulli(p=0.5, seed: int | None = None) -> Column:
-    return (F.rand(seed) < F.lit(p)).cast("long")
+    return (F.rand(_seed(seed)) < F.lit(p)).cast("long")
 
 
 def rand_int(low: int, high: int, seed: int | None = None) -> Column:
     """Whole numbers from low to high, both included."""
-    return (F.lit(low) + F.floor(F.rand(seed) * (high - low + 1))).cast("long")
+    return (F.lit(low) + F.floor(F.rand(_seed(seed)) * (high - low + 1))).cast("long")
 
 
 def _drawn(draw) -> Column:
@@ -221,12 +246,12 @@ def _drawn(draw) -> Column:
 
 
 def rand_gamma(shape=1.0, scale=1.0, seed: int | None = None) -> Column:
-    return _drawn(lambda rng, n: rng.gamma(shape, scale, n))(F.rand(seed))
+    return _drawn(lambda rng, n: rng.gamma(shape, scale, n))(F.rand(_seed(seed)))
 
 
 def rand_student_t(df=1.0, seed: int | None = None) -> Column:
-    return _drawn(lambda rng, n: rng.standard_t(df, n))(F.rand(seed))
+    return _drawn(lambda rng, n: rng.standard_t(df, n))(F.rand(_seed(seed)))
 
 
 def rand_poisson(lam=1.0, seed: int | None = None) -> Column:
-    return _drawn(lambda rng, n: rng.poisson(lam, n).astype("float64"))(F.rand(seed)).cast("long")
+    return _drawn(lambda rng, n: rng.poisson(lam, n).astype("float64"))(F.rand(_seed(seed))).cast("long")

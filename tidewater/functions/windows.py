@@ -17,7 +17,13 @@ def _spec(c: Context, frame) -> WindowSpec:
         raise ValueError("a rolling function needs a window clause or a window of its own")
     if isinstance(frame, int):
         return c.ordered().rowsBetween(-(frame - 1), W.currentRow)
+    c.guard()
     ticks, width = c.ticks(), c.width(frame)
+    if c.seen is not None:
+        c.seen.append("order" if c.aligned else width)
+    if c.grid is not None:
+        bucket, order, steps, below = c.grid
+        return W.partitionBy(*c.by, bucket).orderBy(order).rangeBetween(-((width - 1) * steps + below), W.currentRow)
     if c.aligned:
         order = list(dict.fromkeys([c.time, *c.order]))
         return W.partitionBy(*(F.col(k) for k in c.by), F.floor(ticks / width)).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -48,7 +54,7 @@ def rolled(kind: str, x=None, *args, window=None) -> Deferred:
         frame = window if window is not None else c.window
         w = _spec(c, frame)
         v = resolve(x, c) if x is not None else F.lit(1)
-        if isinstance(frame, str) and not c.aligned and c.ties == "position":
+        if isinstance(frame, str) and not c.aligned and c.ties == "position" and c.grid is None and c.seen is None:
             return _positional(kind, v.cast("double") if kind not in ("first", "last", "count") else v, c, w, args)
         n = F.count(v).over(w)
         simple = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count}
@@ -62,10 +68,11 @@ def rolled(kind: str, x=None, *args, window=None) -> Deferred:
             return F.when((n > 0) & (n < 3), 0.0).otherwise(skew_of(F.skewness(v).over(w), n))
         if kind == "kurtosis":
             return F.when((n > 0) & (n < 4), 0.0).otherwise(kurtosis_of(F.kurtosis(v).over(w), n))
-        if kind == "first":
-            return F.first(v).over(w)
-        if kind == "last":
-            return F.last(v).over(w)
+        if kind in ("first", "last"):
+            if isinstance(frame, str) and not c.aligned and c.ties == "peers":
+                here = F.struct(*dict.fromkeys([c.time, *c.order]))
+                return (F.min_by if kind == "first" else F.max_by)(v, here).over(w)
+            return (F.first if kind == "first" else F.last)(v).over(w)
         if kind == "ewma":
             d = v.cast("double")
             return fold_ewma(F.filter(F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*(c.order or [c.time])).alias("o"), d.alias("v"))).over(w)), lambda e: e["v"]), lambda y: y.isNotNull()), args[0])

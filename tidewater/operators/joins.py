@@ -127,7 +127,11 @@ def with_scalar(df: DataFrame, sub: DataFrame, column: str, name: str, on=None)
     """df with an aggregate of another table as a column: the same for all rows, or per key (correlated)."""
     pairs = _key_pairs(on)
     if not pairs:
-        return df.crossJoin(F.broadcast(sub.select(F.col(column).alias(name))))  # one row
+        # the first of at most two rows: a table of several is an error when the result is read
+        two = sub.select(F.col(column).alias(name)).limit(2)
+        one = two.agg(F.count(F.lit(1)).alias("__n"), F.first(name).alias(name))
+        several = F.raise_error(F.lit("a scalar subquery has several rows")).cast(sub.schema[column].dataType)
+        return df.crossJoin(F.broadcast(one.select(F.when(F.col("__n") > 1, several).otherwise(F.col(name)).alias(name))))
     sub = sub.select(*(F.col(b).alias(f"__s_{b}") for _, b in pairs), F.col(column).alias(name))
     condition = [df[a] == sub[f"__s_{b}"] for a, b in pairs]
     return df.join(sub, condition, "left").drop(*(f"__s_{b}" for _, b in pairs))

@@ -21,6 +21,8 @@ def melt(df: DataFrame, ids: list[str], measures: list[str] | None = None) -> Da
 def dcast(df: DataFrame, pivot: str, value: str, by: list[str] | None = None, order: list[str] | None = None, values: list | None = None) -> DataFrame:
     """Wide form: a column for each non-null pivot value, the last row by `order` in each cell.
 
+    Without an order a cell of several rows is an error, raised when the result is read.
+
     Without `values` the pivot values are found by a job, in order of first appearance if `order`
     is given, else sorted; their number is bounded by spark.sql.pivotMaxValues.
     """
@@ -31,7 +33,9 @@ def dcast(df: DataFrame, pivot: str, value: str, by: list[str] | None = None, or
         values = [r[0] for r in first.orderBy("at").limit(most + 1).collect()]
         if len(values) > most:
             raise ValueError("too many pivot values")
-    cell = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)) if order else F.max(F.struct(F.col(value).alias("v")))
+    kind = T.StructType([T.StructField("v", df.schema[value].dataType)])
+    several = F.raise_error(F.lit("a cell of dcast has several rows: state their order")).cast(kind)
+    cell = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)) if order else F.when(F.count(F.lit(1)) > 1, several).otherwise(F.max(F.struct(F.col(value).alias("v"))))
     wide = df.groupBy(*by).pivot(pivot, values).agg(cell)
     return wide.select(*by, *(F.col(f"`{v}`.v").alias(str(v)) for v in values))
 

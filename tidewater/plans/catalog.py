@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import joins_shape, rows, scalars_misc, timeseries, tpch
+from . import joins_shape, rows, scalars_misc, sources_models, timeseries, tpch, tpch_more
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "joins_shape", "rows", "scalars_misc", "timeseries", "tpch"]
+__all__ = ["ORACLES", "QUERIES", "joins_shape", "rows", "scalars_misc", "sources_models", "timeseries", "tpch", "tpch_more"]

@@ -20,3 +20,17 @@ def get_spark(name: str = "tidewater", **more: str) -> SparkSession:
     for k, v in more.items():
         builder = builder.config(k.replace("__", "."), v)
     return builder.getOrCreate()
+
+
+def scratch_folder(spark, name: str) -> str:
+    """A new folder for intermediate files, below spark.checkpoint.dir; a local one only where that is unset in local mode."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tidewater-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
