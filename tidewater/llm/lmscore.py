@@ -271,7 +271,7 @@ def train(docs: DataFrame) -> Scorer:
     spark = docs.sparkSession
     small_batches(spark)
     # the scan's partitions grow with the data, and so do the ranges
-    ranges = 1 << max(6, (docs.rdd.getNumPartitions() - 1).bit_length())
+    ranges = 1 << max(5, (4 * docs.rdd.getNumPartitions() - 1).bit_length())
     shift = 64 - (ranges.bit_length() - 1)
     folder = scratch_path(spark, "words")
     text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
