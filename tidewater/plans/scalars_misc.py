@@ -138,12 +138,41 @@ def stream_per_row(t: Tables):
     from ..streaming.streams import run_stream
 
     source = t.spark.readStream.schema(t.df("events").schema).parquet(f"{t.folder}/events.parque[t]")
-    return run_stream(source, lambda d: d.where("value > 50").select("event_id", (C("value") * 2).alias("twice")), "per_row")
+    return run_stream(source, lambda d: d.where("value > 50").select("event_id", (C("value") * 2).alias("twice")))
 
 
-@query("""SELECT time_bucket(INTERVAL '1 day', ts) AS ts, count(*) AS n FROM events GROUP BY 1 HAVING time_bucket(INTERVAL '1 day', ts) < (SELECT time_bucket(INTERVAL '1 day', max(ts)) FROM events)""")
+@query("""SELECT time_bucket(INTERVAL '1 day', ts) AS ts, count(*) AS n FROM events GROUP BY 1""")
 def stream_time_bucket(t: Tables):
     from ..streaming.streams import bucket_stream
 
     source = t.spark.readStream.schema(t.df("events").schema).parquet(f"{t.folder}/events.parque[t]")
-    return bucket_stream(source, "ts", "1 day", [], [F.count("*").alias("n")], "buckets")
+    return bucket_stream(source, "ts", "1 day", [], [F.count("*").alias("n")])
+
+
+@query("""SELECT time_bucket(INTERVAL '1 day', ts) AS ts, event_type, count(*) AS n, round(sum(value), 6) AS s FROM events GROUP BY 1, 2""")
+def stream_bucket_by_clock(t: Tables):
+    """Batches by the clock give open buckets out as well; the run ends after a while."""
+    from ..streaming.streams import bucket_stream
+
+    source = t.spark.readStream.schema(t.df("events").schema).parquet(f"{t.folder}/events.parque[t]")
+    out = bucket_stream(source, "ts", "1 day", ["event_type"], [F.count("*").alias("n"), F.sum("value").alias("s")], every="1 second", timeout=15)
+    return out.select("ts", "event_type", "n", F.round("s", 6).alias("s"))
+
+
+@query("SELECT 'per_row' AS kind, count(*) AS n FROM events WHERE value > 50")
+def stream_kind_by_row(t: Tables):
+    from ..streaming.streams import stream
+
+    source = t.spark.readStream.schema(t.df("events").schema).parquet(f"{t.folder}/events.parque[t]")
+    kind, rows = stream(source, lambda d: d.where("value > 50").select("event_id"))
+    return rows.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+
+
+@query("""SELECT 'time_bucket' AS kind, time_bucket(INTERVAL '1 day', ts) AS ts, count(*) AS n FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL '1 day', ts) < (SELECT time_bucket(INTERVAL '1 day', max(ts)) FROM events)""")
+def stream_kind_of_buckets(t: Tables):
+    """Appended buckets are those that a later row has closed."""
+    from ..streaming.streams import stream
+
+    source = t.spark.readStream.schema(t.df("events").schema).parquet(f"{t.folder}/events.parque[t]")
+    kind, rows = stream(source, lambda d: d.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("ts"), "n"), "ts")
+    return rows.select(F.lit(kind).alias("kind"), "ts", "n")

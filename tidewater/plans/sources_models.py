@@ -15,6 +15,7 @@ from ..functions.externs import Externs
 from ..operators import joins, models
 from ..session import scratch_folder
 from ..sources import io
+from ..verbs import run_cell, verbs
 from .registry import Tables, query, r6
 
 C = F.col
@@ -245,3 +246,21 @@ def shown_rows(t: Tables):
     text = t.nation.head(3, order=["n_nationkey"]).select("n_nationkey", "n_name").text(3)
     cells = [[x.strip() for x in line.strip("|").split("|")] for line in text.splitlines() if line.startswith("|")][1:]
     return t.spark.createDataFrame(pd.DataFrame([(int(a), b) for a, b in cells], columns=["n_nationkey", "n_name"])).select(C("n_nationkey").cast("int"), "n_name")
+
+
+@query("""WITH a AS (SELECT c_mktsegment, c_nationkey, count(*) AS n, round(sum(c_acctbal), 4) AS total FROM customer WHERE c_acctbal > 0 GROUP BY ALL)
+  SELECT c_mktsegment AS segment, n_name, n, total, row_number() OVER (PARTITION BY c_mktsegment ORDER BY total DESC, n_name) AS place FROM a JOIN nation ON n_nationkey = c_nationkey QUALIFY place <= 3""")
+def verbs_chain(t: Tables):
+    v = verbs(t.customer).filter(C("c_acctbal") > 0).group_by("c_mktsegment", "c_nationkey").summarise(n=agg.count(), total=agg.sum("c_acctbal").map(lambda x: F.round(x, 4))).ungroup()
+    v = v.inner_join(verbs(t.nation).select("n_name", c_nationkey="n_nationkey")).rename(segment="c_mktsegment")
+    best = v.group_by("segment").slice_head(3, order=[("total", "desc"), "n_name"])
+    ranked = best.mutate(place=win.rank([("total", False), ("n_name", True)], "min"))
+    return ranked.select("n_name", "n", "total", "place").frame
+
+
+@query("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1 HAVING count(*) > 1")
+def notebook_cell(t: Tables):
+    """What a cell of SQL over the frames of a notebook gives, and keeps under a name."""
+    names = {"land": t.nation, "_hidden": t.region, "x": 3}
+    out = run_cell("kept", "SELECT n_regionkey, count(*) AS n FROM land GROUP BY 1 HAVING count(*) > 1", names)
+    return names["kept"] if names["kept"] is out else None
