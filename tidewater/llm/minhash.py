@@ -17,7 +17,8 @@ compares the members of a bucket with each other:
   linked with the centre. Their symmetric difference follows from their differences, so for a link
   the differences must overlap by a number that only sizes decide, so they meet several times in
   the first elements of both (prefix and position bounds of set similarity joins). Members are
-  joined on those elements, which few share; what passes the bounds is compared on full sets.
+  joined on those elements (what many members hold comes last, so few share them); what passes the
+  bounds is compared on full sets.
 
 So a link is lost only if its classes meet in no bucket: at Jaccard 0.85 with probability 4e-8, at 0.8
 with 2e-5. Every link is confirmed on the full sets. Edge cases:
@@ -139,7 +140,10 @@ PAIRS_A_TASK = 512
 LEAST_YIELD = 0.05
 
 #: Differences must meet in this many elements more than one, in beginnings longer by as many.
-EXTRA = 2
+EXTRA = 1
+
+#: Elements that more than one in so many of a star's differences hold come last in the order.
+FREQUENT = 16
 
 
 def overlap_bounds(n: int, diff: int, centre: int, percent: int) -> tuple[int, bool, int]:
@@ -162,11 +166,7 @@ def overlap_bounds(n: int, diff: int, centre: int, percent: int) -> tuple[int, b
 
 
 def _compared(percent: int, stars: bool):
-    """Compares pairs of sets; for stars of several members tells the first elements of the differences as well.
-
-    Elements that the centre lacks come first, as few members share them; prefix holds keys of
-    the centre and the element.
-    """
+    """Compares pairs of sets; for stars of several members tells the differences as well, in the order of a hash."""
 
     def sets_of(column):
         values, at = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
@@ -176,27 +176,25 @@ def _compared(percent: int, stars: bool):
         for batch in batches:
             a, b, members, score, sa, sb = batch.columns
             out = []
-            for name, many, x, y in zip(a.to_pylist(), members.to_pylist(), sets_of(sa), sets_of(sb), strict=True):
+            for many, x, y in zip(members.to_pylist(), sets_of(sa), sets_of(sb), strict=True):
                 at = np.minimum(np.searchsorted(x, y), len(x) - 1)
                 both = x[at] == y
                 shared = int(both.sum())
                 link = 100 * shared >= percent * (len(x) + len(y) - shared)
                 if not stars or many < 2:
-                    out.append((link, len(y), 0, 0, False, None))
+                    out.append((link, len(y), 0, 0, False, 0, None))
                     continue
                 gone = np.delete(x, at[both])
-                order = np.concatenate([np.sort(textnum.mix(y[~both]) >> np.uint64(1)) | np.uint64(1 << 63), np.sort(textnum.mix(gone) >> np.uint64(1))])
-                weight, loose, length = overlap_bounds(len(y), len(order), len(x), percent)
-                keys = textnum.mix(order[:length] ^ np.frombuffer(name, np.uint64, 1)).view(np.int64)
-                out.append((link, len(y), len(order), weight, loose, keys))
+                elements = np.sort(textnum.mix(np.concatenate([y[~both], gone])).view(np.int64))
+                out.append((link, len(y), len(elements), *overlap_bounds(len(y), len(elements), len(x), percent), elements))
             kinds = [f.type for f in _COMPARED][4:]
             yield pa.RecordBatch.from_arrays([a, b, members, score, *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))] if out else [pa.array([], f.type) for f in _COMPARED], schema=_COMPARED)
 
     return frugal(run)
 
 
-_COMPARED = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("members", pa.int64()), ("score", pa.int64()), ("link", pa.bool_()), ("n", pa.int64()), ("diff", pa.int64()), ("weight", pa.int64()), ("loose", pa.bool_()), ("prefix", pa.list_(pa.int64()))])
-_COMPARED_SQL = "a binary, b binary, members long, score long, link boolean, n long, diff long, weight long, loose boolean, prefix array<bigint>"
+_COMPARED = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("members", pa.int64()), ("score", pa.int64()), ("link", pa.bool_()), ("n", pa.int64()), ("diff", pa.int64()), ("weight", pa.int64()), ("loose", pa.bool_()), ("length", pa.int64()), ("elements", pa.list_(pa.int64()))])
+_COMPARED_SQL = "a binary, b binary, members long, score long, link boolean, n long, diff long, weight long, loose boolean, length long, elements array<bigint>"
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, stars: bool = False) -> DataFrame:
@@ -312,10 +310,15 @@ def _more_centres(stars: DataFrame, links: DataFrame, labels: DataFrame | None,
 
 def _loose_links(stars: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame | None:
     """The links between members of a star that are in different components, None if there are no such members."""
-    rows = cut(_with_component(stars.select(F.xxhash64("a").alias("g"), "b", "diff", "weight", "loose", "prefix"), labels, "b", "comp"))
+    rows = cut(_with_component(stars.select(F.xxhash64("a").alias("g"), "b", "diff", "weight", "loose", "length", "elements"), labels, "b", "comp"))
     several = cut(rows.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("loose").alias("any"), F.count("*").alias("m")).where("any AND c0 <> c1").select("g", "m"))
-    rows = skew_join(rows, several, "g", "m", rows.count(), "inner")
-    each = rows.select("g", "b", "diff", "weight", "loose", "comp", F.posexplode("prefix").alias("pos", "key")).drop("m")
+    rows = cut(skew_join(rows, several, "g", "m", rows.count(), "inner"))
+    # what many differences of a star hold (the centre's own peculiarities, say) comes last
+    often = rows.where(F.col("m") >= 2 * FREQUENT).select("g", "m", F.explode("elements").alias("e")).groupBy("g", "e").agg(F.count("*").alias("n"), F.max("m").alias("m"))
+    often = often.where(F.col("n") * FREQUENT > F.col("m")).groupBy("g").agg(F.collect_set("e").alias("often"))  # FREQUENT mean differences at most
+    order = F.when(F.col("often").isNull(), F.col("elements")).otherwise(F.concat(F.array_except("elements", "often"), F.array_intersect("elements", "often")))
+    each = rows.join(often, "g", "left").select("g", "b", "diff", "weight", "loose", "comp", F.posexplode(F.slice(order, F.lit(1), F.col("length").cast("int"))).alias("pos", "e"))
+    each = cut(each.withColumn("key", F.xxhash64("g", "e")).drop("e"))
     loose = each.where("loose").select(*(F.col(c).alias(f"{c}2") for c in each.columns if c not in ("loose", "g")), F.col("g").alias("g2"))
     need = F.ceil((F.col("weight") + F.col("weight2")) / (2 * (100 + percent)) - 1e-9)
     left = F.least(F.col("diff") - F.col("pos"), F.col("diff2") - F.col("pos2"))
