@@ -13,7 +13,10 @@ from ..operators.joins import with_scalar
 from .registry import Tables, query
 
 L = F.col
-NET = L("l_extendedprice") * (1 - L("l_discount"))
+
+
+def net():
+    return L("l_extendedprice") * (1 - L("l_discount"))
 
 
 def r4(e):
@@ -52,7 +55,7 @@ def q08_market_share(t: Tables):
     s = t.supplier.select("s_suppkey", "s_nationkey").join(t.nation.select("n_nationkey", "n_name"), {"s_nationkey": "n_nationkey"}).select("s_suppkey", "n_name")
     li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount").join(t.part.filter(L("p_type") == "ECONOMY").select("p_partkey"), {"l_partkey": "p_partkey"}, "semi")
     rows = li.join(o, {"l_orderkey": "o_orderkey"}).join(s, {"l_suppkey": "s_suppkey"})
-    share = agg.sum(F.when(L("n_name") == "NATION_2", NET).otherwise(0.0)) / agg.sum(NET)
+    share = agg.sum(F.when(L("n_name") == "NATION_2", net()).otherwise(0.0)) / agg.sum(net())
     return rows.select(by={"o_year": F.year("o_orderdate").cast("long")}, mkt_share=share.map(lambda x: F.round(x, 6)))
 
 
@@ -63,7 +66,7 @@ def q09_product_profit(t: Tables):
     s = t.supplier.select("s_suppkey", "s_nationkey").join(t.nation.select("n_nationkey", "n_name"), {"s_nationkey": "n_nationkey"}).select("s_suppkey", nation=L("n_name"))
     li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount").join(p, {"l_partkey": "p_partkey"}).join(s, {"l_suppkey": "s_suppkey"})
     rows = li.join(t.orders.select("o_orderkey", "o_orderdate"), {"l_orderkey": "o_orderkey"})
-    return rows.select(by={"nation": L("nation"), "o_year": F.year("o_orderdate").cast("long")}, sum_profit=r4(agg.sum(NET - L("p_retailprice") * L("l_quantity"))))
+    return rows.select(by={"nation": L("nation"), "o_year": F.year("o_orderdate").cast("long")}, sum_profit=r4(agg.sum(net() - L("p_retailprice") * L("l_quantity"))))
 
 
 @query("""WITH v AS (SELECT l_partkey, sum(l_extendedprice) AS value FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey AND n_regionkey = 1 GROUP BY 1)
