@@ -25,7 +25,7 @@ def r4(e):
 
 @query("""WITH o AS (SELECT l_partkey, l_suppkey, min(l_extendedprice / l_quantity) AS cost FROM lineitem JOIN part ON p_partkey = l_partkey AND p_size = 15
   JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey AND r_name = 'EUROPE' GROUP BY ALL)
-  SELECT round(s_acctbal, 4) AS s_acctbal, s_name, n_name, l_partkey AS p_partkey, round(cost, 4) AS cost FROM o JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
+  SELECT round(s_acctbal, 4) AS s_acctbal, s_name, n_name, l_partkey AS p_partkey, cost FROM o JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
   WHERE cost = (SELECT min(cost) FROM o i WHERE i.l_partkey = o.l_partkey)""")
 def q02_least_cost_supplier(t: Tables):
     n = t.nation.join(t.region.filter(L("r_name") == "EUROPE"), {"n_regionkey": "r_regionkey"}, "semi").select("n_nationkey", "n_name")
@@ -34,7 +34,7 @@ def q02_least_cost_supplier(t: Tables):
     li = t.lineitem.select("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").join(p, {"l_partkey": "p_partkey"}, "semi").join(s.select("s_suppkey"), {"l_suppkey": "s_suppkey"}, "semi")
     offers = li.select(by=["l_partkey", "l_suppkey"], cost=agg.min(L("l_extendedprice") / L("l_quantity")))
     best = offers.update(by="l_partkey", least=agg.min("cost")).filter(L("cost") == L("least"))
-    return best.join(s, {"l_suppkey": "s_suppkey"}).select("s_name", "n_name", p_partkey=L("l_partkey"), s_acctbal=F.round("s_acctbal", 4), cost=F.round("cost", 4))
+    return best.join(s, {"l_suppkey": "s_suppkey"}).select("s_name", "n_name", "cost", p_partkey=L("l_partkey"), s_acctbal=F.round("s_acctbal", 4))
 
 
 @query("""SELECT o_orderpriority, count(*) AS order_count FROM orders WHERE o_orderdate >= TIMESTAMP '1996-07-01' AND o_orderdate < TIMESTAMP '1997-07-01'
