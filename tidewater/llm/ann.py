@@ -144,9 +144,14 @@ def _query_blocks(batches):
 
 def _meet(left: DataFrame, asked: DataFrame) -> DataFrame:
     """Every block of left beside every block of queries: block, queries, q and the columns of left."""
-    right = cut(asked.mapInArrow(_query_blocks, "queries binary, q binary").withColumn("block", F.monotonically_increasing_id()))
-    numbers = [r["block"] for r in right.select("block").collect()]  # one number a block of queries
-    met = left.withColumn("block", F.explode(F.array(*(F.lit(b) for b in numbers)))) if numbers else left.withColumn("block", F.lit(-1).cast("long"))
+    right = cut(asked.mapInArrow(_query_blocks, "queries binary, q binary").withColumn("id", F.monotonically_increasing_id()))
+    # ids hold the number of a task and a number in it: a row a task makes them gapless, so blocks need no list
+    tasks = right.groupBy(F.shiftright("id", 33).alias("task")).agg(F.count("*").alias("n"))
+    tasks = tasks.select("task", (F.sum("n").over(W.orderBy("task")) - F.col("n")).alias("before"))
+    right = right.withColumn("task", F.shiftright("id", 33)).join(F.broadcast(tasks), "task")
+    right = right.select((F.col("before") + F.col("id").bitwiseAND((1 << 33) - 1)).alias("block"), "queries", "q")
+    number = right.count()
+    met = left.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(number - 1).cast("long"))) if number else F.lit(-1).cast("long"))
     met = met.join(right, "block").select("block", "queries", "q", *left.columns)
     # dealt by a hash of the block, not the join's own key: an exchange that the planner keeps, and
     # that no split of a skewed join reaches, so a task sees all blocks that its queries meet
