@@ -267,6 +267,23 @@ def test_components_of_a_chain(spark):
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100
 
 
+def test_minhash_compares_few_members_of_a_star(spark, monkeypatch):
+    rng = np.random.default_rng(24)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 29):
+        text = list(base)
+        for k in rng.choice(np.arange(0, 150, 6), 9, replace=False):
+            text[k] = f"x{i}_{k}"  # what the centre has and they have not, they share; what they add is theirs alone
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    compared, verified = [], minhash._verified
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, *a, **k: compared.append(pairs.count()) or verified(pairs, *a, **k))
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, 3, 85).collect())
+    assert got == collections.Counter(brute_components(rows, 3, 85))
+    assert sum(compared[2:]) < 20  # after two rounds with centres
+
+
 def test_quality_counts(docs, empty):
     rows = collections.Counter()
     for r in docs.collect():

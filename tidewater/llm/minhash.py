@@ -17,8 +17,8 @@ compares the members of a bucket with each other:
   linked with the centre. Their symmetric difference follows from their differences, so for a link
   the differences must overlap by a number that only sizes decide, so they meet several times in
   the first elements of both (prefix and position bounds of set similarity joins). Members are
-  joined on those elements (what many members hold comes last, so few share them); what passes the
-  bounds is compared on full sets.
+  joined on those elements (they are in order of how many differences of the star hold them, so few
+  share the first ones); what passes the bounds is compared on full sets.
 
 So a link is lost only if its classes meet in no bucket: at Jaccard 0.85 with probability 4e-8, at 0.8
 with 2e-5. Every link is confirmed on the full sets. Edge cases:
@@ -142,9 +142,6 @@ LEAST_YIELD = 0.05
 #: Differences must meet in this many elements more than one, in beginnings longer by as many.
 EXTRA = 1
 
-#: Elements that more than one in so many of a star's differences hold come last in the order.
-FREQUENT = 16
-
 
 def overlap_bounds(n: int, diff: int, centre: int, percent: int) -> tuple[int, bool, int]:
     """(weight, loose, length) of a star's member with n shingles that differs from its centre by diff of them.
@@ -308,17 +305,28 @@ def _more_centres(stars: DataFrame, links: DataFrame, labels: DataFrame | None,
             return links, labels
 
 
+def _beginnings(rows: DataFrame) -> DataFrame:
+    """The elements, as key, in the first `length` places of each difference, with their places; the rarest of a star come first.
+
+    An element that members of one component have alone takes a place but meets nothing, so it is no row.
+    """
+    held = rows.select("g", "b", F.xxhash64("comp").alias("in"), F.explode("elements").alias("e")).select("g", "b", "in", F.xxhash64("g", "e").alias("key"))
+    counts = cut(held.groupBy("key").agg(F.count("*").alias("n"), F.min("in").alias("least"), F.max("in").alias("most")).where("least <> most").select("key", "n"))
+    held = held.drop("in")
+    total = counts.agg(F.sum("n")).head()[0] or 0
+    common = skew_join(held, counts.withColumn("often", F.col("n")), "key", "n", total, "inner")
+    common = common.groupBy("g", "b").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("common")).select(F.col("g").alias("cg"), F.col("b").alias("cb"), "common")
+    rows = rows.join(common, (F.col("g") == F.col("cg")) & (F.col("b") == F.col("cb"))).withColumn("alone", F.col("diff") - F.size("common"))
+    first = F.slice("common.key", F.lit(1), F.greatest(F.lit(0), F.col("length") - F.col("alone")).cast("int"))
+    return rows.select("g", "b", "diff", "weight", "loose", "comp", "alone", F.posexplode(first).alias("pos", "key")).withColumn("pos", F.col("alone") + F.col("pos")).drop("alone")
+
+
 def _loose_links(stars: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame | None:
     """The links between members of a star that are in different components, None if there are no such members."""
     rows = cut(_with_component(stars.select(F.xxhash64("a").alias("g"), "b", "diff", "weight", "loose", "length", "elements"), labels, "b", "comp"))
     several = cut(rows.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("loose").alias("any"), F.count("*").alias("m")).where("any AND c0 <> c1").select("g", "m"))
     rows = cut(skew_join(rows, several, "g", "m", rows.count(), "inner"))
-    # what many differences of a star hold (the centre's own peculiarities, say) comes last
-    often = rows.where(F.col("m") >= 2 * FREQUENT).select("g", "m", F.explode("elements").alias("e")).groupBy("g", "e").agg(F.count("*").alias("n"), F.max("m").alias("m"))
-    often = often.where(F.col("n") * FREQUENT > F.col("m")).groupBy("g").agg(F.collect_set("e").alias("often"))  # FREQUENT mean differences at most
-    order = F.when(F.col("often").isNull(), F.col("elements")).otherwise(F.concat(F.array_except("elements", "often"), F.array_intersect("elements", "often")))
-    each = rows.join(often, "g", "left").select("g", "b", "diff", "weight", "loose", "comp", F.posexplode(F.slice(order, F.lit(1), F.col("length").cast("int"))).alias("pos", "e"))
-    each = cut(each.withColumn("key", F.xxhash64("g", "e")).drop("e"))
+    each = cut(_beginnings(rows))
     loose = each.where("loose").select(*(F.col(c).alias(f"{c}2") for c in each.columns if c not in ("loose", "g")), F.col("g").alias("g2"))
     need = F.ceil((F.col("weight") + F.col("weight2")) / (2 * (100 + percent)) - 1e-9)
     left = F.least(F.col("diff") - F.col("pos"), F.col("diff2") - F.col("pos2"))
