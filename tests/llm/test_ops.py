@@ -267,6 +267,24 @@ def test_components_of_a_chain(spark):
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100
 
 
+def test_components_of_few_links_take_few_jobs(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    spark.sparkContext.setJobGroup("few links", "few links")
+    try:
+        minhash.components(links).collect()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 12
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_of_few_links_equal_those_of_many(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    links = spark.createDataFrame([(bytes([int(a)]), bytes([int(b)])) for a, b in rng.integers(0, 250, (170, 2)) if a != b], "a binary, b binary")
+    few = {r["node"]: r["comp"] for r in minhash.components(links).collect()}
+    monkeypatch.setattr(minhash, "FEW_LINKS", 0)
+    assert few == {r["node"]: r["comp"] for r in minhash.components(links).collect()} and 1 < len(set(few.values())) < len(few)
+
+
 def test_minhash_compares_few_members_of_a_star(spark, monkeypatch):
     rng = np.random.default_rng(24)
     base = [f"w{k}" for k in range(150)]

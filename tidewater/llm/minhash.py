@@ -114,13 +114,43 @@ def _sets(width: int):
     return frugal(run)
 
 
+#: So many links, a few MB, are joined to components by one task; more by rounds over all tasks.
+FEW_LINKS = 100_000
+
+
+def _forest(batches):
+    """node, comp for the nodes of all links (a, b), by union of trees whose root is their least node."""
+    up = {}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([root(x) for x in list(up)], kind)], names=["node", "comp"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp (the least node reachable) of every node of links (a, b), by min-label rounds with pointer jumps.
 
     Each round takes the least label among a node's own and its neighbours', then that label's own
-    label. Nothing is collected but a count of changes.
+    label. Nothing is collected but a count of changes. At most FEW_LINKS links are joined by one
+    task instead: a round is a dozen jobs, whose plans and figures stay in the driver's memory.
     """
-    both = cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
+    links = cut(links.select("a", "b").distinct())
+    if links.count() <= FEW_LINKS:
+        kind = links.schema["a"].dataType.simpleString()
+        return cut(links.coalesce(1).mapInArrow(_forest, f"node {kind}, comp {kind}"))
+    both = cut(links.union(links.select(F.col("b"), F.col("a"))).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("comp")))
     while True:
         heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("heard"))
