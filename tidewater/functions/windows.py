@@ -8,43 +8,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from .aggregates import fold_ewma, kurtosis_of, skew_of
-from .deferred import Context, Deferred, resolve
+from .deferred import Context, Deferred, Part, resolve
 
 
 def _spec(c: Context, frame) -> WindowSpec:
-    """Sliding (t - D, t], aligned [floor(t / D) D, t], or the last n rows."""
-    if frame is None:
-        raise ValueError("a rolling function needs a window clause or a window of its own")
+    """Aligned [floor(t / D) D, t], or the last n rows."""
     if isinstance(frame, int):
         return c.ordered().rowsBetween(-(frame - 1), W.currentRow)
-    c.guard()
-    ticks, width = c.ticks(), c.width(frame)
-    if c.seen is not None:
-        c.seen.append("order" if c.aligned else width)
-    if c.grid is not None:
-        bucket, order, steps, below = c.grid
-        return W.partitionBy(*c.by, bucket).orderBy(order).rangeBetween(-((width - 1) * steps + below), W.currentRow)
-    if c.aligned:
-        order = list(dict.fromkeys([c.time, *c.order]))
-        return W.partitionBy(*(F.col(k) for k in c.by), F.floor(ticks / width)).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return W.partitionBy(*c.by).orderBy(ticks).rangeBetween(-(width - 1), W.currentRow)
-
-
-def _positional(kind: str, v: Column, c: Context, w: WindowSpec, args: tuple) -> Column:
-    """Rolling over a time window in which later rows with the same time do not count, by an ordered list."""
-    here = F.struct(*c.order)
-    rows = F.collect_list(F.struct(F.struct(*c.order).alias("o"), v.alias("v"))).over(w)
-    rows = F.transform(F.array_sort(F.filter(rows, lambda e: e["o"] <= here)), lambda e: e["v"])
-    some = F.filter(rows, lambda x: x.isNotNull())
-    total = F.aggregate(some, F.lit(0.0), lambda a, x: a + x)
-    n = F.size(some)
-    table = {
-        "sum": lambda: F.when(n > 0, total), "mean": lambda: F.when(n > 0, total / n), "min": lambda: F.array_min(some), "max": lambda: F.array_max(some), "count": lambda: F.size(rows).cast("long"),
-        "first": lambda: F.get(rows, F.lit(0)), "last": lambda: F.element_at(rows, -1), "ewma": lambda: fold_ewma(some, args[0]),
-    }
-    if kind not in table:
-        raise NotImplementedError(f"rolling {kind} with ties by position")
-    return table[kind]()
+    order = list(dict.fromkeys([c.time, *c.order]))
+    return W.partitionBy(*(F.col(k) for k in c.by), F.floor(c.ticks() / c.width(frame))).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
 def rolled(kind: str, x=None, *args, window=None) -> Deferred:
@@ -52,10 +24,17 @@ def rolled(kind: str, x=None, *args, window=None) -> Deferred:
 
     def build(c: Context) -> Column:
         frame = window if window is not None else c.window
+        if frame is None:
+            raise ValueError("a rolling function needs a window clause or a window of its own")
+        if isinstance(frame, str):
+            c.guard()
+            c.ticks()
+            if not c.aligned:
+                width = c.width(frame)
+                v = F.lit(1) if x is None else F.lit(None) if c.ready is not None else resolve(x, c)
+                return c.part(Part(kind, v, args, width))
         w = _spec(c, frame)
         v = resolve(x, c) if x is not None else F.lit(1)
-        if isinstance(frame, str) and not c.aligned and c.ties == "position" and c.grid is None and c.seen is None:
-            return _positional(kind, v.cast("double") if kind not in ("first", "last", "count") else v, c, w, args)
         n = F.count(v).over(w)
         simple = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count}
         if kind in simple:
@@ -69,9 +48,6 @@ def rolled(kind: str, x=None, *args, window=None) -> Deferred:
         if kind == "kurtosis":
             return F.when((n > 0) & (n < 4), 0.0).otherwise(kurtosis_of(F.kurtosis(v).over(w), n))
         if kind in ("first", "last"):
-            if isinstance(frame, str) and not c.aligned and c.ties == "peers":
-                here = F.struct(*dict.fromkeys([c.time, *c.order]))
-                return (F.min_by if kind == "first" else F.max_by)(v, here).over(w)
             return (F.first if kind == "first" else F.last)(v).over(w)
         if kind == "ewma":
             d = v.cast("double")

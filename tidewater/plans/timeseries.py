@@ -13,9 +13,14 @@ from ..functions import windows as win
 from .registry import Tables, query, r6
 
 C = F.col
+#: As the SQL of RANGE frames has it, rows of equal time see each other.
 SIX = "RANGE BETWEEN INTERVAL '5 hours 59 minutes 59.999999 seconds' PRECEDING AND CURRENT ROW"
 
 
+def _events_as_peers(t: Tables):
+    return replace(t.events.select("event_id", "ts", "event_type", "value"), ties="peers")
+
+
 @query(f"SELECT event_id, round(sum(value) OVER w, 6) AS s, round(avg(value) OVER w, 6) AS m, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts {SIX})")
 def roll_sum_mean_sliding(t: Tables):
     return t.events.window("6h", by="event_type", update={"s": r6(agg.sum("value")), "m": r6(agg.mean("value")), "n": agg.count()}).select("event_id", "s", "m", "n")
@@ -40,7 +45,7 @@ def roll_aligned_ohlc(t: Tables):
 
 @query(f"SELECT event_id, round(median(value) OVER w, 6) AS med, round(quantile_cont(value, 0.75) OVER w, 6) AS q FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts {SIX})")
 def roll_median_quantile(t: Tables):
-    return t.events.window("6h", by="event_type", update={"med": r6(win.rolling_median("value")), "q": r6(win.rolling_quantile("value", 0.75))}).select("event_id", "med", "q")
+    return _events_as_peers(t).window("6h", by="event_type", update={"med": r6(win.rolling_median("value")), "q": r6(win.rolling_quantile("value", 0.75))}).select("event_id", "med", "q")
 
 
 @query(f"SELECT event_id, round(coalesce(stddev_samp(value) OVER w, 0), 5) AS sd FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts {SIX})")
