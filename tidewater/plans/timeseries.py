@@ -23,7 +23,7 @@ def _events_as_peers(t: Tables):
 
 @query(f"SELECT event_id, round(sum(value) OVER w, 6) AS s, round(avg(value) OVER w, 6) AS m, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts {SIX})")
 def roll_sum_mean_sliding(t: Tables):
-    return t.events.window("6h", by="event_type", update={"s": r6(agg.sum("value")), "m": r6(agg.mean("value")), "n": agg.count()}).select("event_id", "s", "m", "n")
+    return _events_as_peers(t).window("6h", by="event_type", update={"s": r6(agg.sum("value")), "m": r6(agg.mean("value")), "n": agg.count()}).select("event_id", "s", "m", "n")
 
 
 @query(f"SELECT event_id, min(value) OVER w AS lo, max(value) OVER w AS hi FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts {SIX})")
