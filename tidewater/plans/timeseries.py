@@ -50,7 +50,7 @@ def roll_median_quantile(t: Tables):
 
 @query(f"SELECT event_id, round(coalesce(stddev_samp(value) OVER w, 0), 5) AS sd FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts {SIX})")
 def roll_std(t: Tables):
-    return t.events.window("6h", by="event_type", update={"sd": win.rolling_std("value").map(lambda x: F.round(x, 5))}).select("event_id", "sd")
+    return _events_as_peers(t).window("6h", by="event_type", update={"sd": win.rolling_std("value").map(lambda x: F.round(x, 5))}).select("event_id", "sd")
 
 
 @query("""SELECT event_id, round(CASE WHEN n < 3 THEN 0 ELSE sk END, 4) AS sk, round(CASE WHEN n < 4 THEN 0 ELSE ku END, 4) AS ku FROM
