@@ -38,7 +38,7 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["roll_median_quantile", "roll_sum_mean_sliding", "roll_std"])
+@pytest.mark.parametrize("name", ["roll_median_quantile", "roll_sum_mean_sliding", "roll_std", "roll_min_max"])
 def test_sliding_windows_see_peers_and_slide_over_no_frame(name, spark, tied):
     assert "RangeFrame, -" not in plan(against_sql(name, spark, tied))
 

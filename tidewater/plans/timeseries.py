@@ -28,7 +28,7 @@ def roll_sum_mean_sliding(t: Tables):
 
 @query(f"SELECT event_id, min(value) OVER w AS lo, max(value) OVER w AS hi FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts {SIX})")
 def roll_min_max(t: Tables):
-    return t.events.window("6h", by="event_type", update={"lo": win.rolling_min("value"), "hi": win.rolling_max("value")}).select("event_id", "lo", "hi")
+    return _events_as_peers(t).window("6h", by="event_type", update={"lo": win.rolling_min("value"), "hi": win.rolling_max("value")}).select("event_id", "lo", "hi")
 
 
 @query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS 19 PRECEDING), 6) AS m20 FROM events")
