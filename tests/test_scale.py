@@ -58,3 +58,12 @@ def test_quantiles_of_windows(spark):
             at = (len(seen) - 1) * 0.3
             a, b = seen[int(at)], seen[min(int(at) + (at > int(at)), len(seen) - 1)]
             assert got[x["id"]] == pytest.approx(a if a == b else a + (at - int(at)) * (b - a))
+
+
+def test_waiting_suppliers_in_one_row_an_order(spark, tmp_path):
+    """No window over an order's suppliers; a line without a supplier is no other supplier."""
+    for f in os.listdir(FOLDER):
+        if f != "lineitem.parquet":
+            os.symlink(f"{FOLDER}/{f}", tmp_path / f)
+    duckdb.sql(f"COPY (SELECT * REPLACE (CASE WHEN l_linenumber > 1 AND l_orderkey % 2 = 0 THEN NULL ELSE l_suppkey END AS l_suppkey) FROM '{FOLDER}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    assert "Window" not in plan(against_sql("q21_waiting_suppliers", spark, str(tmp_path)))

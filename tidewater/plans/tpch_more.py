@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..frame import Frame
 from ..functions import aggregates as agg
 from ..operators.joins import with_scalar
+from ..session import spread
 from .registry import Tables, query
 
 L = F.col
@@ -110,10 +112,10 @@ def q20_suppliers_of_many(t: Tables):
   WHERE EXISTS (SELECT 1 FROM l o WHERE o.l_orderkey = l.l_orderkey AND o.l_suppkey <> l.l_suppkey) AND NOT EXISTS (SELECT 1 FROM l o WHERE o.l_orderkey = l.l_orderkey AND o.l_suppkey <> l.l_suppkey AND o.late) GROUP BY 1""")
 def q21_waiting_suppliers(t: Tables):
     o = t.orders.filter(L("o_orderstatus") == "F").select("o_orderkey", "o_orderdate")
-    li = t.lineitem.select("l_orderkey", "l_suppkey", "l_shipdate").join(o, {"l_orderkey": "o_orderkey"})
-    # a row a supplier of an order, then a look at the order's other suppliers: one shuffle by order
-    each = li.select(by=["l_orderkey", "l_suppkey"], n=agg.count(F.when(L("l_shipdate") > L("o_orderdate"), 1)))
-    seen = each.update(by="l_orderkey", suppliers=agg.count(), late=agg.count(F.when(L("n") > 0, 1)))
-    alone = seen.filter((L("n") > 0) & (L("suppliers") > 1) & (L("late") == 1))
+    li = Frame(spread(t.df("lineitem").select("l_orderkey", "l_suppkey", "l_shipdate"), "l_orderkey")).join(o, {"l_orderkey": "o_orderkey"})
+    # a row an order: it has several suppliers if the least differs from the greatest, one late one if those are the same
+    late = F.when(L("l_shipdate") > L("o_orderdate"), L("l_suppkey"))
+    each = li.select(by="l_orderkey", least=agg.min("l_suppkey"), most=agg.max("l_suppkey"), l_suppkey=agg.min(late), last_late=agg.max(late), n=agg.count(late))
+    alone = each.filter((L("least") < L("most")) & (L("l_suppkey") == L("last_late")))
     s = t.supplier.select("s_suppkey", "s_name", "s_nationkey").join(t.nation.filter(L("n_regionkey") == 4), {"s_nationkey": "n_nationkey"}, "semi")
     return alone.join(s.select("s_suppkey", "s_name"), {"l_suppkey": "s_suppkey"}).select(by="s_name", numwait=agg.sum("n"))
