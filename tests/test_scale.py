@@ -67,3 +67,13 @@ def test_waiting_suppliers_in_one_row_an_order(spark, tmp_path):
             os.symlink(f"{FOLDER}/{f}", tmp_path / f)
     duckdb.sql(f"COPY (SELECT * REPLACE (CASE WHEN l_linenumber > 1 AND l_orderkey % 2 = 0 THEN NULL ELSE l_suppkey END AS l_suppkey) FROM '{FOLDER}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
     assert "Window" not in plan(against_sql("q21_waiting_suppliers", spark, str(tmp_path)))
+
+
+@pytest.mark.parametrize("name", ["rank_multi_key", "rank_methods", "rank_pct_na_option"])
+def test_ranks_cut_into_stretches(name, spark, tied, monkeypatch):
+    """Each task ranks a stretch of a group's rows."""
+    from tidewater.functions import ranks
+
+    monkeypatch.setattr(ranks, "CUT_ROWS", 100)
+    monkeypatch.setattr(ranks, "TASK_ROWS", 300)
+    assert "__cut0" in plan(against_sql(name, spark, tied))

@@ -9,6 +9,7 @@ from pyspark.sql.window import WindowSpec
 
 from .aggregates import fold_ewma, kurtosis_of, skew_of
 from .deferred import Context, Deferred, Part, resolve
+from .ranks import Rank
 
 
 def _spec(c: Context, frame) -> WindowSpec:
@@ -171,15 +172,25 @@ def rank(keys, method: str = "average", ascending: bool = True, na_option: str =
             null = null | k.isNull()
         groups = [F.col(k) for k in c.by] + ([null] if na_option == "keep" else [])
         order = [((k.asc_nulls_first() if up else k.desc_nulls_first()) if na_option == "top" else (k.asc_nulls_last() if up else k.desc_nulls_last())) for k, up in cols]
-        w = W.partitionBy(*groups).orderBy(*order)
-        peers = F.count(F.lit(1)).over(W.partitionBy(*groups, *(k for k, _ in cols)))
-        low = F.rank().over(w)
         if method == "first" and not c.order:
             raise ValueError("rank by first reads row order: state it with order=[...] on the frame")
-        value = {"min": lambda: low, "max": lambda: low + peers - 1, "average": lambda: low + (peers - 1) / 2, "dense": lambda: F.dense_rank().over(w), "first": lambda: F.row_number().over(W.partitionBy(*groups).orderBy(*order, *c.order))}[method]()
-        if pct:
-            value = value / F.count(F.lit(1)).over(W.partitionBy(*groups))
-        value = value.cast("double" if pct or method == "average" else "long")
-        return F.when(~null, value) if na_option == "keep" else value
+
+        def finish(stretch: Column | None = None, ahead: Column | None = None, levels: Column | None = None, all_: Column | None = None) -> Column:
+            within = groups if stretch is None else [*groups, stretch]
+            w = W.partitionBy(*within).orderBy(*order)
+            before = lambda r, x: r if x is None else r + F.coalesce(x, F.lit(0))
+            low, peers = before(F.rank().over(w), ahead), F.count(F.lit(1)).over(W.partitionBy(*within, *(k for k, _ in cols)))
+            value = {
+                "min": lambda: low, "max": lambda: low + peers - 1, "average": lambda: low + (peers - 1) / 2, "dense": lambda: before(F.dense_rank().over(w), levels),
+                "first": lambda: before(F.row_number().over(W.partitionBy(*within).orderBy(*order, *c.order)), ahead),
+            }[method]()
+            if pct:
+                n = F.count(F.lit(1)).over(W.partitionBy(*within))
+                value = value / (n if all_ is None else F.coalesce(all_, n))
+            value = value.cast("double" if pct or method == "average" else "long")
+            return F.when(~null, value) if na_option == "keep" else value
+
+        ties = [(F.col(k), True, False) for k in c.order] if method == "first" else []
+        return c.part(Rank(groups, [*((k, up, na_option != "top") for k, up in cols), *ties], finish)) if c.seen is not None or c.ready is not None else finish()
 
     return Deferred(build)

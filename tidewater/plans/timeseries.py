@@ -107,7 +107,7 @@ def fill_forward_backward(t: Tables):
   FROM (SELECT *, count(*) OVER (PARTITION BY event_type, k) AS p FROM (SELECT *, floor(value / 10) AS k FROM events)) WINDOW w AS (PARTITION BY event_type ORDER BY k)""")
 def rank_methods(t: Tables):
     k = F.floor(C("value") / 10)
-    return t.events.update(by="event_type", mn=win.rank(k, "min"), mx=win.rank(k, "max"), av=win.rank(k), de=win.rank(k, "dense"), fi=win.rank(k, "first")).select("event_id", "mn", "mx", "av", "de", "fi")
+    return t.events.update(by="event_type", mn=win.rank(k, "min", na_option="bottom"), mx=win.rank(k, "max", na_option="bottom"), av=win.rank(k, na_option="bottom"), de=win.rank(k, "dense", na_option="bottom"), fi=win.rank(k, "first", na_option="bottom")).select("event_id", "mn", "mx", "av", "de", "fi")
 
 
 @query("""SELECT event_id, CASE WHEN v IS NOT NULL THEN round(rank() OVER (PARTITION BY event_type, v IS NULL ORDER BY v DESC) * 1.0 / count(*) OVER (PARTITION BY event_type, v IS NULL), 9) END AS keep,
@@ -121,7 +121,7 @@ def rank_pct_na_option(t: Tables):
 
 @query("SELECT event_id, row_number() OVER (ORDER BY event_type DESC, value, ts, event_id) AS r FROM events")
 def rank_multi_key(t: Tables):
-    return t.events.update(r=win.rank([("event_type", False), ("value", True)], "first")).select("event_id", "r")
+    return t.events.update(r=win.rank([("event_type", False), ("value", True)], "first", na_option="bottom")).select("event_id", "r")
 
 
 @query("""SELECT time_bucket(INTERVAL '1 day', ts) AS ts, event_type, first(value ORDER BY ts, event_id) AS o, max(value) AS h, min(value) AS l, last(value ORDER BY ts, event_id) AS c FROM events GROUP BY 1, 2""")
