@@ -77,3 +77,15 @@ def test_ranks_cut_into_stretches(name, spark, tied, monkeypatch):
     monkeypatch.setattr(ranks, "CUT_ROWS", 100)
     monkeypatch.setattr(ranks, "TASK_ROWS", 300)
     assert "__cut0" in plan(against_sql(name, spark, tied))
+
+
+@pytest.mark.parametrize("name", ["boosted_trees"])
+def test_trees_learn_in_tasks_of_few_rows(name, spark, monkeypatch):
+    import tidewater.session as session
+    from tidewater.operators import models
+
+    seen = []
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    monkeypatch.setattr(models, "spread", lambda df: seen.append(session.spread(df)) or seen[-1])
+    assert QUERIES[name](spark, FOLDER).collect()
+    assert seen[0].rdd.getNumPartitions() == 200 // 50
