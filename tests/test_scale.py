@@ -79,7 +79,7 @@ def test_ranks_cut_into_stretches(name, spark, tied, monkeypatch):
     assert "__cut0" in plan(against_sql(name, spark, tied))
 
 
-@pytest.mark.parametrize("name", ["boosted_trees"])
+@pytest.mark.parametrize("name", ["boosted_trees", "boosted_trees_fit"])
 def test_trees_learn_in_tasks_of_few_rows(name, spark, monkeypatch):
     import tidewater.session as session
     from tidewater.operators import models
